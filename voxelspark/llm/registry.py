@@ -9,6 +9,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelspark.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,5 +24,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op7_token_counts)}
 ORACLE: dict[str, str] = {}
