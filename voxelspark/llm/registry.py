@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxelspark.llm import line_dedup, mixing
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +18,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takings(_read(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return line_dedup.dedup_lines(docs, counts=True).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,5 +35,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_token_counts)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op6_source_mixing, op7_token_counts, op9_line_dedup)}
+ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
