@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import line_dedup, mixing, substring_dedup
+from voxelspark.llm import jaccard_join, line_dedup, mixing, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op6_source_mixing, op7_token_counts, op9_line_dedup)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op6_source_mixing, op7_token_counts, op9_line_dedup, op10_ngram_jaccard)}
 ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
