@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import jaccard_join, line_dedup, mixing, substring_dedup
+from voxelspark.llm import embedding_dedup, jaccard_join, line_dedup, mixing, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.mark_repeats(_read(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op6_source_mixing, op7_token_counts, op9_line_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op6_source_mixing, op7_token_counts, op9_line_dedup, op10_ngram_jaccard)}
 ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
