@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import embedding_dedup, jaccard_join, line_dedup, mixing, substring_dedup
+from voxelspark.llm import embedding_dedup, jaccard_join, line_dedup, mixing, nearest, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.mark_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takings(_read(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op6_source_mixing, op7_token_counts, op9_line_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op5_nearest_neighbours, op6_source_mixing, op7_token_counts, op9_line_dedup, op10_ngram_jaccard)}
 ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
