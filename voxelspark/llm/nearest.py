@@ -183,7 +183,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 def _calibrated(points: DataFrame, n: int, k: int) -> tuple[int, float, float]:
     """(dimensions, largest norm, typical distance of a neighbour) from all norms and a bounded sample."""
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     largest = points.agg(F.max(norm)).first()[0]
     x = matrix(points.orderBy(F.xxhash64("p", F.lit(SEED)), "p").limit(SAMPLE).select("vector").toArrow()["vector"])
     some = x[:: max(1, len(x) // 200)]
@@ -212,9 +212,10 @@ def search(
     if not n:
         return empty
     flat = points.select("p", "vector")
+    kind = points.schema["vector"].dataType.simpleString()
     asked = flat.join(queries.select("p").distinct(), "p").select(F.col("p").alias("q"), "vector")
     index = Index.of(*_calibrated(flat, n, k), tables, projections, width, success)
-    found = _meet(flat.mapInArrow(_hashed(index), "t int, bucket long, p long, vector array<double>"), asked.mapInArrow(_probed(index), "t int, bucket long, q long, vector array<double>"), k + 1)
+    found = _meet(flat.mapInArrow(_hashed(index), f"t int, bucket long, p long, vector {kind}"), asked.mapInArrow(_probed(index), f"t int, bucket long, q long, vector {kind}"), k + 1)
     found = table(_top(found, k + 1), "vector-found")
     short = cut(asked.join(found.groupBy("q").count(), "q", "left").where(F.coalesce("count", F.lit(0)) < min(n, k + 1)).select("q", "vector"))
     if not short.isEmpty():

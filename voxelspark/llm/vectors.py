@@ -15,9 +15,14 @@ def usable(vector: str) -> Column:
     return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def plain(df: DataFrame, vector: str) -> Column:
+    """The vector as array<float> if it is that, else as array<double>."""
+    return F.col(vector).cast("array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>")
+
+
 def rows_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` (array<double>) of usable rows with an id; of several lengths only the commonest takes part."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull())
+    """``id, vector`` of usable rows with an id; of several lengths only the commonest takes part."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), plain(df, vector_col).alias("vector")).where(usable("vector") & F.col("id").isNotNull())
     lengths = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return rows.where(F.size("vector") == lengths[0][0]) if lengths else rows
 
