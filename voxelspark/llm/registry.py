@@ -26,6 +26,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.mark_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from voxelspark.llm.sentencepieces import encode
+
+    return encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_read(spark, sf_dir, "embeddings"))
 
@@ -55,5 +63,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op5_nearest_neighbours, op6_source_mixing, op7_token_counts, op8_html_text, op9_line_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op5_nearest_neighbours, op6_source_mixing, op7_token_counts, op8_html_text, op9_line_dedup, op10_ngram_jaccard)}
 ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
