@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.operators import kernels, markers, matching, shape, spatial, threshold, tiling
+from voxelspark.operators import detect, kernels, learning, markers, matching, shape, spatial, threshold, tiling
 from voxelspark.plans.fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -812,19 +812,23 @@ def manifold_filter(spark, d):
 
 @query()
 def find_cells(spark, d):
-    """Per tile: thresholds, seeds (regional maxima of the ball sums above the threshold), mean shift, suppression by mass."""
-    tiles = _tiled(spark, d).where("x < 24 AND y < 24 AND z < 16")
-    cuts = threshold.two_kapur(threshold.histogram(tiles, "tile_id"), "tile_id")
-    fore = threshold.foreground(tiles, F.broadcast(cuts), "tile_id")
-    sums = kernels.convolve(tiles.where("tile_id = '000000'").select(*AXES, "intensity"), kernels.ball(2))
-    top = kernels.regional_maxima(sums.select(*AXES, F.col("local_mass").cast("long").alias("intensity")), spatial.components)
-    first = cuts.where("tile_id = '000000'").select("t0")
-    weight = sum(w for *_, w in kernels.ball(2))
-    seeds = top.crossJoin(F.broadcast(first)).where(F.col("intensity") > F.col("t0") * weight)
-    seeds = seeds.select(F.lit("000000").alias("tile_id"), (F.col("x") * 65536 + F.col("y") * 256 + F.col("z")).cast("long").alias("id"), *AXES, F.col("intensity").cast("double").alias("mass"))
-    rest = shape.mean_shift(seeds, fore.where("tile_id = '000000'").select("tile_id", *AXES, F.col("intensity").alias("weight")), 5.5)
-    rest = rest.join(seeds.select("id", "mass"), "id")
-    return matching.suppress(rest, 5.5, group="tile_id").select("tile_id", "id", *[F.round(a, 4).alias(a) for a in AXES], "mass")
+    """All tiles of the volume: thresholds, seeds, mean shift, suppression."""
+    found = detect.find_cells(_voxels(spark, d), VOLUME, VOLUME_TILES, VOLUME_MARGIN, seed_radius=2.0)
+    return found.select("tile_id", "id", *[F.round(a, 4).alias(a) for a in AXES], F.round("mass", 4).alias("mass"), F.round("z_score", 4).alias("z_score"))
+
+
+@query()
+def deconvolve_identity(spark, d):
+    """The deconvolution with a predictor that gives each patch back."""
+    return learning.deconvolve(_corner(spark, d), {a: (2, 12) for a in AXES}, 1, 2, lambda x: x)
+
+
+@query(
+    "SELECT a.id, round(least(2.0, coalesce(min(" + D + ") / 3, 2.0)), 6) AS sigma FROM markers_true a LEFT JOIN markers_true b ON a.id <> b.id AND " + D + " < 16 GROUP BY a.id",
+    ("markers_true",),
+)
+def shrunk_sigma(spark, d):
+    return learning.shrunk_sigma(_true(spark, d), 2.0, 16.0).withColumn("sigma", F.round("sigma", 6))
 
 
 @query()
