@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +81,50 @@ def fuse(first: DataFrame, second: DataFrame, matches: DataFrame) -> DataFrame:
     return both.select("a_id", "b_id", *[F.coalesce((F.col(f"a{c}") + F.col(f"b{c}")) / 2, f"a{c}", f"b{c}").alias(c) for c in AXES], origin.alias("origin"))
 
 
-def visible_pairs(views: DataFrame, least: int = 30) -> DataFrame:
-    """``tile_id, pairs``: view pairs to merge, by how many of four views see enough (second threshold of at least ``least``).
+def visible_pairs(views: DataFrame, view_ids: tuple[str, str, str, str], least: int = 30) -> DataFrame:
+    """``tile_id, n_seen, pairs``: which pairs of four views round the tile to merge, by who sees enough of it.
 
-    None or one seen: no pair; otherwise the seen views in order, each with the next.
+    A pair is of one of the first and third view with one of the second and fourth. All four seen: all pairs. Three:
+    those whose first view sees. Two that face each other: all; two neighbours: theirs. One: the pairs it is in.
+    """
+    see = [F.coalesce(F.max(F.when(F.col("view_id") == v, F.col("t1") >= least)), F.lit(False)).alias(f"s{k}") for k, v in enumerate(view_ids)]
+    by = views.groupBy("tile_id").agg(*see).withColumn("n_seen", sum(F.col(f"s{k}").cast("int") for k in range(4)))
+    facing = (F.col("s0") & F.col("s2")) | (F.col("s1") & F.col("s3"))
+    keep = []
+    for a in (0, 2):
+        for b in (1, 3):
+            sa, sb = F.col(f"s{a}"), F.col(f"s{b}")
+            test = F.when(F.col("n_seen") == 4, True).when(F.col("n_seen") == 3, sa).when(F.col("n_seen") == 2, facing | (sa & sb)).when(F.col("n_seen") == 1, sa | sb).otherwise(False)
+            keep.append(F.when(test, F.lit(f"{view_ids[a]}_{view_ids[b]}")))
+    return by.select("tile_id", "n_seen", F.concat_ws(",", *keep).alias("pairs"))
+
+
+def merge_views(found: dict[tuple[str, str], DataFrame], view_ids: tuple[str, str, str, str], match: Callable[[DataFrame, DataFrame], DataFrame], turn: Callable[[DataFrame], DataFrame], size: tuple[int, int, int]) -> DataFrame | None:
+    """``x, y, z`` of one tile from its view pairs' markers (``id, x, y, z``).
+
+    Pairs that share their first view lie in one frame and are fused; those of the third view are then turned into the
+    first one's frame and fused with it. What falls outside the tile is dropped. No pair: nothing.
     """
-    seen = F.array_sort(F.collect_list(F.when(F.col("t1") >= least, F.col("view_id"))))
-    by = views.groupBy("tile_id").agg(seen.alias("seen"))
-    pairs = F.when(F.size("seen") > 1, F.transform(F.sequence(F.lit(1), F.size("seen") - 1), lambda k: F.concat_ws("_", F.element_at("seen", k), F.element_at("seen", k + 1))))
-    return by.select("tile_id", F.size("seen").alias("n_seen"), F.coalesce(F.concat_ws(",", pairs), F.lit("")).alias("pairs"))
+    def together(frames: list[DataFrame]) -> DataFrame | None:
+        out = None
+        for f in frames:
+            out = f.select("id", *AXES) if out is None else _renumbered(fuse(out, f, match(out, f)))
+        return out
+
+    first = together([f for (a, _), f in sorted(found.items()) if a == view_ids[0]])
+    third = together([f for (a, _), f in sorted(found.items()) if a == view_ids[2]])
+    # alone, the third view stays in its own frame
+    whole = together([f for f in (first, turn(third) if third is not None and first is not None else third) if f is not None])
+    if whole is None:
+        return None
+    for a, w in zip(AXES, size, strict=True):
+        whole = whole.where((F.col(a) >= 0) & (F.col(a) <= w - 1))
+    return whole.select(*AXES)
+
+
+def _renumbered(fused: DataFrame) -> DataFrame:
+    """Fused markers with ids of their own: even for the first view's, odd for those only the second has."""
+    return fused.select(F.coalesce(F.col("a_id") * 2, F.col("b_id") * 2 + 1).alias("id"), *AXES)
 
 
 def substack_of(name: str = "name"):

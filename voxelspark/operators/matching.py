@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions.storage import cut
 from voxelspark.operators.spatial import components, distance_join
+from voxelspark.operators.tiling import inside
 
 
 def candidates(first: DataFrame, second: DataFrame, radius: float) -> DataFrame:
@@ -97,6 +98,24 @@ def classify(true: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     return part(true.join(hit, "id", "left_semi"), "TP").unionByName(part(true.join(hit, "id", "left_anti"), "FN")).unionByName(part(pred.join(found, "id", "left_anti"), "FP"))
 
 
+def evaluate(true: DataFrame, pred: DataFrame, size: tuple[int, int, int], margin: float, diameter: float, by_weight: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(counts and scores, one row; every marker inside with its kind TP, FP, FN or REJ).
+
+    Predictions with ``rejected`` true take no part and are only listed. By weight pairs within twice the diameter compete
+    and those under half of it count; otherwise pairs under half the diameter are taken greedily. Hits are judged inside by
+    the true marker, false positives by the predicted one.
+    """
+    rejected = F.coalesce(F.col("rejected"), F.lit(False)) if "rejected" in pred.columns else F.lit(False)
+    live = pred.where(~rejected)
+    if by_weight:
+        matches = max_weight(candidates(true, live, 2 * diameter)).where(F.col("d") < diameter / 2)
+    else:
+        matches = greedy(distance_join(true, live, diameter / 2).select("a_id", "b_id", "d"))
+    listed = classify(true, live, cut(matches)).unionByName(pred.where(rejected).select(F.lit("REJ").alias("kind"), "id", "x", "y", "z")).where(inside(size, margin))
+    counts = listed.agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("TP", "FP", "FN")])
+    return prf(counts), listed
+
+
 def suppress(points: DataFrame, radius: float, heaviest_first: bool = True, group: str | None = None) -> DataFrame:
     """Greedy suppression: visit by mass, keep a point unless a kept one is within the radius.
 

@@ -603,11 +603,28 @@ def mean_shift_k3(spark, d):
 # ---- matching and evaluation
 
 
+#: The sequential walks, row by row, in a recursive query that carries what is taken.
+_WALK = f"""e AS (SELECT a.id AS a_id, b.id AS b_id, {D} AS d, row_number() OVER (ORDER BY {D}, a.id, b.id) AS rn FROM markers_true a JOIN markers_pred b ON {D} < 8),
+ w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub UNION ALL
+  SELECT e.rn, CASE WHEN list_contains(ua, e.a_id) OR list_contains(ub, e.b_id) THEN ua ELSE list_append(ua, e.a_id) END, CASE WHEN list_contains(ua, e.a_id) OR list_contains(ub, e.b_id) THEN ub ELSE list_append(ub, e.b_id) END FROM w JOIN e ON e.rn = w.rn + 1),
+ g AS (SELECT unnest(ua) AS a_id, unnest(ub) AS b_id FROM w WHERE rn = (SELECT max(rn) FROM w))"""
+
+
+def _suppress_sql(order: str) -> str:
+    return f"""WITH RECURSIVE p AS (SELECT id, row_number() OVER (ORDER BY {order}, id) AS rn FROM markers_pred), n AS (SELECT a.id, list(b.id) AS near FROM markers_pred a JOIN markers_pred b ON a.id <> b.id AND {D} <= 12 GROUP BY a.id),
+ q AS (SELECT p.rn, p.id, coalesce(n.near, CAST([] AS BIGINT[])) AS near FROM p LEFT JOIN n USING (id)),
+ w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT q.rn, CASE WHEN list_has_any(kept, q.near) THEN kept ELSE list_append(kept, q.id) END FROM w JOIN q ON q.rn = w.rn + 1)
+ SELECT unnest(kept) AS id FROM w WHERE rn = (SELECT max(rn) FROM w)"""
+
+
+_BOTH = ("markers_true", "markers_pred")
+
+
 def _greedy(spark, d):
     return matching.greedy(spatial.distance_join(_true(spark, d), _pred(spark, d), 8.0).select("a_id", "b_id", "d"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_WALK} SELECT g.a_id, g.b_id, round(d, 6) AS d FROM g JOIN e USING (a_id, b_id)", _BOTH)
 def greedy_match(spark, d):
     return _greedy(spark, d).select("a_id", "b_id", F.round("d", 6).alias("d"))
 
@@ -618,7 +635,10 @@ def max_weight_match(spark, d):
     return matching.max_weight(matching.candidates(_true(spark, d), _pred(spark, d), 32.0)).where("d < 8").select("a_id", "b_id", F.round("d", 6).alias("d"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_WALK} SELECT CASE WHEN id IN (SELECT a_id FROM g) THEN 'TP' ELSE 'FN' END AS kind, id, x, y, z FROM markers_true UNION ALL SELECT 'FP', id, x, y, z FROM markers_pred WHERE id NOT IN (SELECT b_id FROM g)""",
+    _BOTH,
+)
 def error_markers(spark, d):
     return matching.classify(_true(spark, d), _pred(spark, d), _greedy(spark, d))
 
@@ -632,6 +652,24 @@ def fp_fn(spark, d):
     return lost.unionByName(extra)
 
 
+_INSIDE = "x BETWEEN 40 AND 469 AND y BETWEEN 40 AND 463 AND z BETWEEN 40 AND 211"
+
+
+@query(
+    f"""WITH RECURSIVE {_WALK}, c AS (SELECT (SELECT count(*) FROM markers_true WHERE {_INSIDE} AND id IN (SELECT a_id FROM g)) AS tp, (SELECT count(*) FROM markers_pred WHERE {_INSIDE} AND id NOT IN (SELECT b_id FROM g)) AS fp,
+    (SELECT count(*) FROM markers_true WHERE {_INSIDE} AND id NOT IN (SELECT a_id FROM g)) AS fn) SELECT tp, fp, fn, PRF FROM c""",
+    _BOTH,
+)
+def eval_greedy(spark, d):
+    return matching.evaluate(_true(spark, d), _pred(spark, d), BOX, 40, 16.0, by_weight=False)[0]
+
+
+@query()
+def eval_max_weight(spark, d):
+    """The scores of a prediction of which a tenth is rejected beforehand."""
+    return matching.evaluate(_true(spark, d), _pred(spark, d).withColumn("rejected", F.col("id") % 10 == 3), BOX, 40, 16.0)[0]
+
+
 _LOG = f"""{BOXES}, hit AS (SELECT DISTINCT a.id FROM markers_true a JOIN markers_pred b ON {D} < 8), found AS (SELECT DISTINCT b.id FROM markers_true a JOIN markers_pred b ON {D} < 8),
  t AS (SELECT tile_id, sum(CASE WHEN m.id IN (SELECT id FROM hit) THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN m.id IN (SELECT id FROM hit) THEN 0 ELSE 1 END) AS fn FROM markers_true m JOIN tiles ON {IN_TILE} GROUP BY tile_id),
  f AS (SELECT tile_id, sum(CASE WHEN m.id IN (SELECT id FROM found) THEN 0 ELSE 1 END) AS fp FROM markers_pred m JOIN tiles ON {IN_TILE} GROUP BY tile_id),
@@ -639,6 +677,8 @@ _LOG = f"""{BOXES}, hit AS (SELECT DISTINCT a.id FROM markers_true a JOIN marker
 _PRF = """round(CASE WHEN tp = 0 THEN CASE WHEN fp = 0 THEN 1.0 ELSE 0.0 END ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp = 0 THEN CASE WHEN fn = 0 THEN 1.0 ELSE 0.0 END ELSE tp / (tp + fn) END, 6) AS recall,
  round(CASE WHEN tp > 0 THEN 2.0 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) WHEN fp = 0 AND fn = 0 THEN 1.0 ELSE 0.0 END, 6) AS f1"""
 
+ORACLE["eval_greedy"] = ORACLE["eval_greedy"].replace("PRF FROM", f"{_PRF} FROM")
+
 
 def _eval_log(spark, d):
     """Per tile: markers with and without a counterpart in reach."""
@@ -709,17 +749,20 @@ def best_distance_per_name(spark, d):
     return markers.best_per_name(m)
 
 
+def _pair_sql(a: int, b: int) -> str:
+    return f"CASE WHEN n = 4 OR (n = 3 AND s{a}) OR (n = 2 AND ((s0 AND s2) OR (s1 AND s3) OR (s{a} AND s{b}))) OR (n = 1 AND (s{a} OR s{b})) THEN '{a * 90:03d}_{b * 90:03d}' END"
+
+
 @query(
-    """WITH v AS (SELECT id AS tile, lpad(CAST((k * 90) AS VARCHAR), 3, '0') AS view_id, CAST((id * 7 + k * 13) % 60 AS INT) AS t1 FROM markers_true CROSS JOIN (SELECT range AS k FROM range(4)) WHERE id <= 100),
-    s AS (SELECT tile, list(view_id ORDER BY view_id) FILTER (WHERE t1 >= 30) AS seen FROM v GROUP BY tile)
-    SELECT CAST(tile AS VARCHAR) AS tile_id, CAST(coalesce(len(seen), 0) AS INT) AS n_seen, CASE WHEN coalesce(len(seen), 0) > 1 THEN array_to_string(list_transform(range(1, len(seen)), lambda k: seen[k] || '_' || seen[k + 1]), ',') ELSE '' END AS pairs FROM s""",
+    f"""WITH s AS (SELECT id, {", ".join(f"(id * 7 + {k} * 13) % 60 >= 30 AS s{k}" for k in range(4))} FROM markers_true WHERE id <= 100), t AS (SELECT *, CAST(s0 AS INT) + CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) AS n FROM s)
+    SELECT CAST(id AS VARCHAR) AS tile_id, n AS n_seen, concat_ws(',', {", ".join(_pair_sql(a, b) for a in (0, 2) for b in (1, 3))}) AS pairs FROM t""",
     ("markers_true",),
 )
 def visible_pairs(spark, d):
     k = F.explode(F.sequence(F.lit(0), F.lit(3)))
     v = _true(spark, d).where("id <= 100").select(F.col("id").cast("string").alias("tile_id"), "id", k.alias("k"))
     views = v.select("tile_id", F.format_string("%03d", F.col("k") * 90).alias("view_id"), ((F.col("id") * 7 + F.col("k") * 13) % 60).cast("int").alias("t1"))
-    return markers.visible_pairs(views)
+    return markers.visible_pairs(views, ("000", "090", "180", "270"))
 
 
 @query(f"WITH {BOXES}, m AS (SELECT tile_id, id, x, y, z FROM markers_true JOIN tiles ON {IN_TILE}), c AS (SELECT tile_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM m GROUP BY tile_id) SELECT tile_id, id FROM (SELECT tile_id, id, row_number() OVER (PARTITION BY tile_id ORDER BY (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz), id) AS r FROM m JOIN c USING (tile_id)) t WHERE r = 1", ("markers_true",))
@@ -777,18 +820,32 @@ def icp(spark, d):
     return _motion(spark, r, t)
 
 
-@query()
+@query(_suppress_sql("mass DESC"), ("markers_pred",))
 def suppress_markers(spark, d):
     """Greedy suppression by descending mass within 12."""
     return matching.suppress(_pred(spark, d), 12.0).select("id")
 
 
-@query()
+@query(_suppress_sql("mass"), ("markers_pred",))
 def suppress_lightest(spark, d):
     """As the split search does it: by ascending mass."""
     return matching.suppress(_pred(spark, d), 12.0, heaviest_first=False).select("id")
 
 
+@query()
+def merge_views(spark, d):
+    """Four view pairs of one tile: fused within their frames, the third view's turned back, fused again."""
+    import numpy as np
+
+    a, b = _true(spark, d), _pred(spark, d)
+    r, t = np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]), np.array([10.0, -4.0, 3.0])
+    far = lambda df: shape.rigid(df, r, t)
+    found = {("000", "090"): a, ("000", "270"): b, ("180", "090"): far(a), ("180", "270"): far(b.where("id % 3 = 0"))}
+    match = lambda p, q: matching.greedy(spatial.distance_join(p.select("id", *AXES), q.select("id", *AXES), 4.0).select("a_id", "b_id", "d"))
+    whole = markers.merge_views(found, ("000", "090", "180", "270"), match, lambda df: shape.rigid(df, r, t, inverse=True), BOX)
+    return whole.select(*[F.round(c, 4).alias(c) for c in AXES])
+
+
 @query()
 def min_connected_k(spark, d):
     return spark.createDataFrame([(shape.smallest_connected_k(_true(spark, d).where("id <= 200"), 64.0, 32),)], "k int")
