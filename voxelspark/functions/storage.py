@@ -1,18 +1,22 @@
-"""Checkpoints in the folder the cluster shares."""
+"""Intermediate tables in the folder the cluster shares."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to ``spark.checkpoint.dir`` (only where that is unset, to one of our own): the plan starts anew."""
+    """Write to ``spark.checkpoint.dir`` (only where that is unset, to a folder of our own) and read back.
+
+    The plan starts anew and survives lost executors. A written table rather than checkpoint(): a checkpoint keeps the
+    size that was estimated for its plan, and estimates of joins of joins multiply from round to round beyond any number.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{(base or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -87,7 +87,7 @@ def box_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, component`` by min-label propagation with pointer jumping over ``edges(u, v)``; checkpointed each round."""
+    """``id, component`` by min-label propagation with pointer jumping over ``edges(u, v)``; each round is written to the shared folder."""
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
