@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Only minima and joins: a hub with any number of edges is never gathered in one place, nothing but two
-numbers a round reaches the driver, and each round is checkpointed to the shared folder.
+numbers a round reaches the driver, and each round is written to the shared folder.
 """
 
 from __future__ import annotations

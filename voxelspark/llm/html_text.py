@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm.html_pages import made
+from voxelspark.llm.workers import text_batches, tidy
 
 TRAIN_PAGES, EPOCHS, SEED = 2000, 8, 7
 #: Buckets of hashed path items and words, widths of their vectors, hidden units in each direction, other inputs.
@@ -272,6 +273,7 @@ def extract(net: Labeller, pages: list[str | None]) -> list[str]:
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col, url_col, text, n_chars`` of every page."""
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(trained().p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,5 +286,5 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    found = df.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    found = df.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, `{url_col}` string, text string")
     return found.select(id_col, url_col, "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm.storage import cut, table
 from voxelspark.llm.vectors import matrix, rows_of
+from voxelspark.llm.workers import tidy
 
 SAMPLE, SEED = 2000, 20_240_501
 #: Vectors and queries of a unit, at most.
@@ -215,7 +216,7 @@ def search(
     kind = points.schema["vector"].dataType.simpleString()
     asked = flat.join(queries.select("p").distinct(), "p").select(F.col("p").alias("q"), "vector")
     index = Index.of(*_calibrated(flat, n, k), tables, projections, width, success)
-    found = _meet(flat.mapInArrow(_hashed(index), f"t int, bucket long, p long, vector {kind}"), asked.mapInArrow(_probed(index), f"t int, bucket long, q long, vector {kind}"), k + 1)
+    found = _meet(flat.mapInArrow(tidy(_hashed(index)), f"t int, bucket long, p long, vector {kind}"), asked.mapInArrow(tidy(_probed(index)), f"t int, bucket long, q long, vector {kind}"), k + 1)
     found = table(_top(found, k + 1), "vector-found")
     short = cut(asked.join(found.groupBy("q").count(), "q", "left").where(F.coalesce("count", F.lit(0)) < min(n, k + 1)).select("q", "vector"))
     if not short.isEmpty():

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxelspark.llm.arrays import mix
+from voxelspark.llm.workers import release, tidy
 
 CHUNK_BITS = 20
 #: Largest width of a row: 2**28 cells are 32 MB a plane.
@@ -109,11 +110,12 @@ def build(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
         yield from sketch.chunks()
 
     n = tasks or max(1, min(64, (depth << log2) >> CHUNK_BITS))
-    merged = df.mapInArrow(partial, SCHEMA).repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_merge, SCHEMA)
+    merged = df.mapInArrow(tidy(partial), SCHEMA).repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_merge), SCHEMA)
     out = Sketch(log2, depth)
     out.once = None
     flat = out.twice.reshape(-1)
     size = min(len(flat), 1 << (CHUNK_BITS - 3))
     for k, part in merged.select("chunk", "twice").collect():
         flat[k * size : (k + 1) * size] = _unpack(bytes(part))
+    release()
     return out

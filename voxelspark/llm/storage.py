@@ -22,14 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder: the rows outlive any executor and the plan starts anew."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet under the shared folder and read back: columnar, compressed, re-readable."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the plan of a small table that a loop goes on with.
+
+    A written table rather than checkpoint(): a checkpoint keeps the size that was estimated for its plan, and estimates
+    of joins of joins multiply from round to round beyond any number; files have the size they have.
+    """
+    return table(df, "cut")

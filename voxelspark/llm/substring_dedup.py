@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm import sketch as cms
 from voxelspark.llm.arrays import Words, grams, grams128, pieces, whole_runs
+from voxelspark.llm.workers import text_batches, tidy
 
 WINDOW, GRAM = 35, 8
 DEPTH, CELLS_AN_ITEM = 2, 4.0
@@ -83,6 +84,7 @@ def _grouped(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """``id_col, n_words, n_removed, kept_sha256`` for every row, and ``kept_text`` if asked for."""
     gram = min(gram, window)
+    text_batches(docs.sparkSession)
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -121,7 +123,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=["hi", "lo", "n", "id", "digest", "at"],
                 )
 
-    grouped = rows.mapInArrow(windows, f"hi long, lo long, n long, id {kind}, digest long, at int").groupBy("hi", "lo")
+    grouped = rows.mapInArrow(tidy(windows), f"hi long, lo long, n long, id {kind}, digest long, at int").groupBy("hi", "lo")
     single = grouped.agg(F.sum("n").alias("n"), F.max("id").alias("id"), F.max("digest").alias("digest"), F.max("at").alias("at")).where("n = 1")
     refuted = single.groupBy("id", "digest").agg(F.collect_list("at").alias("refuted"))
     same = F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.digest") == F.col("r.digest"))
@@ -158,4 +160,4 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept_texts, pa.string())] * with_text, names=names)
 
     names = [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-    return both.mapInArrow(remove, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return both.mapInArrow(tidy(remove), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.llm.workers import release, text_batches, tidy
+
 #: Labelled rows that are looked at for learning, at most: those whose id has the smallest hash.
 SAMPLE_ROWS = 30_000
 #: Patterns looked at, at most (those in most toxic rows), and the least evidence (in nats) that one is toxic.
@@ -136,6 +138,7 @@ def held_out(column: str):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Lexicon:
     """Weights, exceptions and curve from labelled rows that are not held out."""
+    text_batches(docs.sparkSession)
     sample = _labelled(docs, labels, id_col, text_col, rows).cache()
     try:
         totals = {int(t): n for t, n in sample.groupBy("toxic").count().collect()}
@@ -158,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return run
 
         def counted(flag: int, wanted: set[str] | None) -> DataFrame:
-            return sample.where(F.col("toxic") == flag).select("text").mapInArrow(support(wanted), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+            return sample.where(F.col("toxic") == flag).select("text").mapInArrow(tidy(support(wanted)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
         pos = dict(counted(1, None).where(F.col("n") >= 3).orderBy(F.desc("n"), "pattern").limit(CANDIDATES).collect())
         neg = dict(counted(0, set(pos)).collect())
@@ -170,11 +173,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = [lexicon.match(automaton, t.as_py()) for t in batch.column(0)]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())], names=["toxic", "weight", "words"])
 
-        got = sample.mapInArrow(matches, "toxic int, weight double, words long").toPandas().sort_values(["toxic", "weight", "words"])
+        got = sample.mapInArrow(tidy(matches), "toxic int, weight double, words long").toPandas().sort_values(["toxic", "weight", "words"])
         lexicon.curve = _fit(got.toxic.to_numpy() == 1, got.weight.to_numpy(float), got.words.to_numpy(float))
         return lexicon
     finally:
         sample.unpersist()
+        release()
 
 
 def _weights(pos: dict[str, int], neg: dict[str, int], toxic: int, clean: int) -> dict[str, float]:
@@ -219,7 +223,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, n_hits long, n_words long")
+    scored = docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, score double, predicted int, n_hits long, n_words long")
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted", "n_hits", "n_words")
 
 
@@ -234,4 +238,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_c
             scores = lexicon.score(np.array([x[0] for x in found], float), np.array([x[2] for x in found], float))
             yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
