@@ -19,8 +19,6 @@ AXES = ("x", "y", "z")
 #: The box of the markers and that of the voxels, their margins and tile counts.
 BOX, BOX_MARGIN, BOX_TILES = (509, 503, 251), 40, (2, 2, 2)
 VOLUME, VOLUME_MARGIN, VOLUME_TILES = (64, 64, 32), 8, (2, 2, 1)
-#: A cube of the volume for the operators that look at every neighbour.
-CORNER = {"x": (0, 16), "y": (0, 16), "z": (0, 16)}
 
 
 def query(sql: str | None = None, views: tuple[str, ...] = ()):
@@ -228,17 +226,13 @@ def _cube_sql(n: int) -> str:
     return " CROSS JOIN ".join(_OFF.format(a, n) for a in ("dx", "dy", "dz"))
 
 
-def _corner(spark, d):
-    return tiling.box_scan(_voxels(spark, d), CORNER)
-
-
 @query(
     f"""WITH {_CORNER}, k AS (SELECT * FROM {_cube_sql(2)} WHERE dx*dx+dy*dy+dz*dz <= 4)
     SELECT c.x, c.y, c.z, c.intensity, round(sum(n.intensity), 6) AS local_mass FROM c CROSS JOIN k JOIN c n ON n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz GROUP BY ALL""",
     ("voxels",),
 )
 def ball_convolution(spark, d):
-    return kernels.convolve(_corner(spark, d), kernels.ball(2)).select(*AXES, "intensity", F.round("local_mass", 6).alias("local_mass"))
+    return kernels.convolve(_voxels(spark, d), kernels.ball(2)).select(*AXES, "intensity", F.round("local_mass", 6).alias("local_mass"))
 
 
 @query(
@@ -247,7 +241,7 @@ def ball_convolution(spark, d):
     ("voxels",),
 )
 def soft_convolution(spark, d):
-    return kernels.convolve(_corner(spark, d), kernels.ball(2, soft=True)).select(*AXES, "intensity", F.round("local_mass", 6).alias("local_mass"))
+    return kernels.convolve(_voxels(spark, d), kernels.ball(2, soft=True)).select(*AXES, "intensity", F.round("local_mass", 6).alias("local_mass"))
 
 
 _FLAT = """
@@ -258,7 +252,7 @@ r AS (SELECT DISTINCT u, u AS v FROM e WHERE bv > av UNION SELECT e.v, r.v FROM
 
 @query(f"WITH RECURSIVE {_CORNER}, {_FLAT} SELECT x, y, z, intensity FROM c WHERE x*1000000007::BIGINT+y*100003+z NOT IN (SELECT u FROM r)".replace("SELECT DISTINCT u, u AS v FROM e", "SELECT DISTINCT u, 0 AS v FROM e").replace("SELECT e.v, r.v FROM r", "SELECT e.v, 0 FROM r"), ("voxels",))
 def regional_maxima(spark, d):
-    return kernels.regional_maxima(_corner(spark, d), spatial.components)
+    return kernels.regional_maxima(_voxels(spark, d), spatial.components)
 
 
 @query(
@@ -268,7 +262,7 @@ def regional_maxima(spark, d):
     ("voxels",),
 )
 def local_entropy(spark, d):
-    return kernels.local_entropy(_corner(spark, d), 1).withColumn("entropy", F.round("entropy", 6))
+    return kernels.local_entropy(_voxels(spark, d), 1).withColumn("entropy", F.round("entropy", 6))
 
 
 @query(
@@ -283,8 +277,7 @@ def local_entropy(spark, d):
     ("voxels", "volume_b"),
 )
 def content_fusion(spark, d):
-    second = tiling.box_scan(view(spark, d, "volume_b"), CORNER)
-    return kernels.content_fusion(kernels.local_entropy(_corner(spark, d), 1), kernels.local_entropy(second, 1))
+    return kernels.content_fusion(kernels.local_entropy(_voxels(spark, d), 1), kernels.local_entropy(view(spark, d, "volume_b"), 1))
 
 
 _CENTRES = "SELECT id, CAST(2 + id % 12 AS INT) AS x, CAST(2 + (id * 7) % 12 AS INT) AS y, CAST(2 + (id * 5) % 12 AS INT) AS z FROM markers_true WHERE id <= 40"
@@ -382,7 +375,7 @@ def positive_sites(spark, d):
 )
 def negative_sites(spark, d):
     """Voxels with no marker within 30."""
-    v = _corner(spark, d).withColumn("id", F.col("x") * 65536 + F.col("y") * 256 + F.col("z"))
+    v = _voxels(spark, d).withColumn("id", F.col("x") * 65536 + F.col("y") * 256 + F.col("z"))
     near = spatial.distance_join(_true(spark, d).select(*AXES), v.select("id", *AXES), 30.0).select(F.col("b_id").alias("id"))
     return v.join(near, "id", "left_anti").select(*AXES)
 
@@ -394,7 +387,7 @@ def negative_sites(spark, d):
 )
 def patch_labels(spark, d):
     """Whether any marker lies in the patch (half-size 5 and 2 more) around a voxel: a box join through grid cells."""
-    v = _corner(spark, d)
+    v = _voxels(spark, d)
     near = spatial.distance_join(_true(spark, d).select(*AXES), v.select(*AXES), 15.0)
     hit = F.lit(True)
     for a in AXES:
@@ -411,7 +404,7 @@ def patch_labels(spark, d):
 )
 def resample_nn(spark, d):
     """Quarter turn: x' = 14 - y, y' = x + 2, z' = z + 1."""
-    grid = kernels.full_grid(spark, (16, 16, 16))
+    grid = kernels.full_grid(spark, VOLUME)
     return kernels.resample_nearest(_voxels(spark, d), grid, ((0.0, -1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)), (14.0, 2.0, 1.0), VOLUME)
 
 
@@ -877,7 +870,7 @@ def find_cells(spark, d):
 @query()
 def deconvolve_identity(spark, d):
     """The deconvolution with a predictor that gives each patch back."""
-    return learning.deconvolve(_corner(spark, d), {a: (2, 12) for a in AXES}, 1, 2, lambda x: x)
+    return learning.deconvolve(_voxels(spark, d), {a: (0, w) for a, w in zip(AXES, VOLUME, strict=True)}, 1, 2, lambda x: x)
 
 
 @query(
