@@ -285,7 +285,7 @@ _CENTRES = "SELECT id, CAST(2 + id % 12 AS INT) AS x, CAST(2 + (id * 7) % 12 AS
 
 def _centres(spark, d):
     cell = lambda k: (2 + (F.col("id") * k) % 12).cast("int")
-    return _true(spark, d).where("id <= 40").select("id", cell(1).alias("x"), cell(7).alias("y"), cell(5).alias("z"))
+    return _true(spark, d).select("id", cell(1).alias("x"), cell(7).alias("y"), cell(5).alias("z"))
 
 
 _PATCH = f"""pt AS ({_CENTRES}), o AS (SELECT *, (dz + 1) * 9 + (dy + 1) * 3 + dx + 1 AS pos FROM {_cube_sql(1)}),
@@ -362,7 +362,7 @@ def gaussian_target(spark, d):
     ("markers_true",),
 )
 def positive_sites(spark, d):
-    inner = _true(spark, d).where(tiling.margin_depth(BOX, 40) > 0).where("id <= 200")
+    inner = _true(spark, d).where(tiling.margin_depth(BOX, 40) > 0)
     steps = range(-12, 13, 3)
     cells = inner.select(*[F.explode(F.array(*[F.lit(s) for s in steps])).alias("dx"), *AXES])
     cells = cells.withColumn("dy", F.explode(F.array(*[F.lit(s) for s in steps]))).withColumn("dz", F.explode(F.array(*[F.lit(s) for s in steps])))
@@ -566,7 +566,7 @@ def mass_zscore(spark, d):
 @query(f"WITH n AS (SELECT b.id, a.id AS c, b.x, b.y, b.z, row_number() OVER (PARTITION BY b.id ORDER BY {D}, a.id) AS r FROM markers_pred b CROSS JOIN (SELECT * FROM markers_true WHERE id <= 50) a) SELECT c AS id, CAST(count(*) AS BIGINT) AS volume, round(sqrt((var_pop(x) + var_pop(y) + var_pop(z)) / 3), 6) AS radius FROM n WHERE r = 1 GROUP BY c", ("markers_true", "markers_pred"))
 def cluster_radius(spark, d):
     p = _pred(spark, d)
-    own = spatial.knn_join(p, _true(spark, d).where("id <= 50"), 1, 64.0).select(F.col("a_id").alias("id"), F.col("b_id").alias("c"))
+    own = spatial.knn_join(p, _true(spark, d), 1, 64.0).select(F.col("a_id").alias("id"), F.col("b_id").alias("c"))
     spread = F.sqrt((F.var_pop("x") + F.var_pop("y") + F.var_pop("z")) / 3)
     return p.join(own, "id").groupBy(F.col("c").alias("id")).agg(F.count(F.lit(1)).alias("volume"), F.round(spread, 6).alias("radius"))
 
@@ -753,7 +753,7 @@ def _pair_sql(a: int, b: int) -> str:
 )
 def visible_pairs(spark, d):
     k = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    v = _true(spark, d).where("id <= 100").select(F.col("id").cast("string").alias("tile_id"), "id", k.alias("k"))
+    v = _true(spark, d).select(F.col("id").cast("string").alias("tile_id"), "id", k.alias("k"))
     views = v.select("tile_id", F.format_string("%03d", F.col("k") * 90).alias("view_id"), ((F.col("id") * 7 + F.col("k") * 13) % 60).cast("int").alias("t1"))
     return markers.visible_pairs(views, ("000", "090", "180", "270"))
 
@@ -801,7 +801,7 @@ def rigid_from_pairs(spark, d):
 def rigid_from_landmarks(spark, d):
     """Landmarks of which a fifth are wrong: the consensus is the true motion."""
     wrong = F.col("id") % 5 == 0
-    pairs = _view_pairs(spark, d).where("id <= 60").withColumns({c: F.when(wrong, F.col(c) + 40 + F.col("id") % 17).otherwise(F.col(c)) for c in "uvw"})
+    pairs = _view_pairs(spark, d).withColumns({c: F.when(wrong, F.col(c) + 40 + F.col("id") % 17).otherwise(F.col(c)) for c in "uvw"})
     return _motion(spark, *shape.ransac(pairs, trials=200))
 
 
@@ -841,21 +841,19 @@ def merge_views(spark, d):
 
 @query()
 def min_connected_k(spark, d):
-    return spark.createDataFrame([(shape.smallest_connected_k(_true(spark, d).where("id <= 200"), 64.0, 32),)], "k int")
+    return spark.createDataFrame([(shape.smallest_connected_k(_true(spark, d), 64.0, 32),)], "k int")
 
 
 @query()
 def geodesic_patch(spark, d):
     m = _true(spark, d)
-    seeds = m.where("id % 50 = 1").select("id")
-    return shape.geodesic_patches(shape.knn_edges(m, 6, 16.0), seeds, 60.0).withColumn("d", F.round("d", 6))
+    return shape.geodesic_patches(shape.knn_edges(m, 6, 16.0), m.select("id"), 60.0).withColumn("d", F.round("d", 6))
 
 
 @query()
 def manifold_filter(spark, d):
     m = _true(spark, d)
-    seeds = m.where("id % 50 = 1").select("id")
-    patches = shape.geodesic_patches(shape.knn_edges(m, 6, 16.0), seeds, 60.0)
+    patches = shape.geodesic_patches(shape.knn_edges(m, 6, 16.0), m.select("id"), 60.0)
     found = shape.manifold_distances(patches, m, 30.0)
     return found.groupBy("id").agg(F.round(F.min("distance"), 4).alias("distance"))
 
@@ -884,6 +882,6 @@ def shrunk_sigma(spark, d):
 @query()
 def cluster_shares(spark, d):
     p = _pred(spark, d)
-    own = spatial.knn_join(p, _true(spark, d).where("id <= 50"), 1, 64.0).select(F.col("a_id").alias("id"), F.col("b_id").alias("cluster"))
+    own = spatial.knn_join(p, _true(spark, d), 1, 64.0).select(F.col("a_id").alias("id"), F.col("b_id").alias("cluster"))
     found = shape.principal_shares(p.join(own, "id"), "cluster")
     return found.select("cluster", "n", *[F.round(F.col("evr")[k], 6).alias(f"share{k}") for k in range(3)])
