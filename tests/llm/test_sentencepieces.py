@@ -61,6 +61,20 @@ def test_long_runs():
         assert P.decode(found[0][1]) == text and all(a[0] >= b[0] for a, b in zip(found, found[1:]))
 
 
+@pytest.mark.parametrize("text", ["ab" * 20_000, "приветмир" * 2_500, "xyzzyq" * 4_000 + " b"])
+def test_second_best_of_long_runs(text):
+    found = P.nbest(text, 3)
+    assert len(found) == 3 and len({tuple(ids) for _, ids in found}) == 3
+    assert all(P.decode(ids) == text for _, ids in found)
+    # the three best scores by keeping the three best of every position
+    tops = [[0.0]]
+    part = P.marked(text)
+    _, arcs = P.arcs(part)
+    for b in range(1, len(part) + 1):
+        tops.append(sorted((x + s for a, s, _ in arcs[b] for x in tops[a]), reverse=True)[:3])
+    assert [s for s, _ in found] == pytest.approx(tops[-1], rel=1e-12, abs=1e-6)
+
+
 def test_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = S.encode(docs, PATH, with_ids=True).collect()

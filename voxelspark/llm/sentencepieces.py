@@ -44,8 +44,8 @@ MEMORY, LONG = 250_000, 64
 WIDTH = 1 << 21
 #: Texts coded at once.
 TEXTS = 100
-#: A part longer than this (a run without any space) gets its best segmentation only.
-PATHS = 20_000
+#: Pieces by which equal paths are put in order; further on any order is as good.
+ORDER = 64
 #: Scores at or below this mark pieces that are never chosen; they don't count as the worst.
 NEVER = -1e8
 _LATIN, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"\x00-@\[-`{-\x7f"
@@ -54,6 +54,25 @@ _SPACES, _WORDS = re.compile("▁*[^▁]*"), re.compile(f"▁*(?:[{_LATIN}]+|[{_
 _OTHER, _ACROSS = re.compile(f"[^{_LATIN}{_SIGNS}▁]"), re.compile(f"[{_LATIN}][{_SIGNS}]|[{_SIGNS}][{_LATIN}]")
 
 
+class Link:
+    """Ids of a piece and what follows it; in order of the next ``ORDER`` ids, looked at only where paths are equal otherwise."""
+
+    __slots__ = ("ids", "then")
+
+    def __init__(self, ids: tuple[int, ...], then: "Link | None"):
+        self.ids, self.then = ids, then
+
+    def __lt__(self, other: "Link | None") -> bool:
+        a, b = self, other
+        for _ in range(ORDER):
+            if a is b or a is None or b is None:
+                return a is None and b is not None
+            if a.ids != b.ids:
+                return a.ids < b.ids
+            a, b = a.then, b.then
+        return False
+
+
 class Pieces:
     """Piece table of one vocabulary."""
 
@@ -87,6 +106,8 @@ class Pieces:
         self.unknown = min(p.get_score(i) for i in plain if p.get_score(i) > NEVER) - UNKNOWN
         #: of each part met: its best score, the ids of that, what the second best costs, and the part
         self.known: dict[str, tuple] = {}
+        #: the ids of the second best of parts, as far as they were asked for
+        self.second: dict[str, tuple[int, ...]] = {}
         self.raw = [bytes([self.value[i]]) if i in self.value else self.names[i].encode() for i in range(n)]
         # no piece may reach across a place where the text is cut
         bare = [self.names[i].lstrip(SPACE) for i in plain]
@@ -116,19 +137,31 @@ class Pieces:
         return best, out
 
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a part, best first: A* backward from the end with exact heuristics."""
+        """The ``n`` best segmentations of a part, best first: A* backward from the end with exact heuristics.
+
+        Paths leave the queue in the order of what is best in all, so no position needs to be passed more than ``n`` times;
+        they hold a link to the path they go on from. Time and memory are linear in the length.
+        """
         best, arcs = self.arcs(part)
         push, pop = heapq.heappush, heapq.heappop
-        # (bound on the whole path, pieces after the position, ids after it, position, score after it)
-        heap: list[tuple] = [(-best[-1], 0, (), len(part), 0.0)]
-        out = []
+        # (bound on the whole path, pieces after the position, link to them, position, score after it)
+        heap: list[tuple] = [(-best[-1], 0, None, len(part), 0.0)]
+        passed, out = [0] * (len(part) + 1), []
         while heap and len(out) < n:
-            _, count, ids, at, after = pop(heap)
+            _, count, link, at, after = pop(heap)
             if at == 0:
-                out.append((after, ids))
+                ids = []
+                while link:
+                    ids += link.ids
+                    link = link.then
+                out.append((after, tuple(ids)))
+                continue
+            if passed[at] == n:
                 continue
+            passed[at] += 1
             for a, s, i in arcs[at]:
-                push(heap, (-(best[a] + s + after), count + len(i), i + ids, a, s + after))
+                if passed[a] < n:
+                    push(heap, (-(best[a] + s + after), count + len(i), Link(i, link), a, s + after))
         return out
 
     def bulk(self, parts: list[str]) -> None:
@@ -202,27 +235,18 @@ class Pieces:
         """Search the parts of a batch of texts that aren't known yet."""
         if len(self.known) >= MEMORY:
             self.known.clear()
+            self.second.clear()
         known = self.known
         new = {p for parts in cuts for p in parts if p not in known}
         for p in [p for p in new if len(p) > LONG]:
-            found = self.every(p, 2)
+            found = self.search(p, 2)
             known[p] = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else math.inf, p)
+            if len(found) > 1:
+                self.second[p] = found[1][1]
         rest = sorted(p for p in new if len(p) <= LONG)
         for i in range(0, len(rest), 20_000):
             self.bulk(rest[i : i + 20_000])
 
-    def viterbi(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The best segmentation alone, in memory linear in the length: for parts too long to keep paths of."""
-        best, arcs = self.arcs(part)
-        ids, at, score = [], len(part), best[-1]
-        while at:
-            at, _, i = max(arcs[at], key=lambda arc: best[arc[0]] + arc[1])
-            ids.append(i)
-        return [(score, tuple(x for i in reversed(ids) for x in i))]
-
-    def every(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        return self.search(part, n) if len(part) <= PATHS else self.viterbi(part)
-
     def marked(self, text: str) -> str:
         """The text as the lattice sees it: a space in front, spaces as marks."""
         return (" " + text).replace(" ", SPACE) if text else ""
@@ -255,10 +279,15 @@ class Pieces:
             least = min(loss)
             if least < math.inf:
                 k = loss.index(least)
-                out.append((base - least, list(chain(*best[:k], self.every(parts[k][3], 2)[1][1], *best[k + 1 :]))))
+                part = parts[k][3]
+                lesser = self.second.get(part)
+                if lesser is None:
+                    # of equal ones the search may meet another first
+                    lesser = self.second[part] = next(ids for _, ids in self.search(part, 2) if ids != best[k])
+                out.append((base - least, list(chain(*best[:k], lesser, *best[k + 1 :]))))
             return out
         some = sorted(k for x, k in heapq.nsmallest(n - 1, zip(loss, range(len(loss)), strict=True)) if x < math.inf)
-        lesser = {k: self.every(parts[k][3], n) for k in some}
+        lesser = {k: self.search(parts[k][3], n) for k in some}
         seen, heap = {(0,) * len(some)}, [(0.0, (0,) * len(some))]
         out = []
         while heap and len(out) < n:
@@ -298,6 +327,7 @@ def encode(docs: DataFrame, vocabulary: str, n: int = 2, id_col: str = "doc_id",
                     yield coded(p, batch.slice(first, TEXTS))
         finally:  # a worker goes on to other operators
             p.known.clear()
+            p.second.clear()
             gc.enable()
 
     def coded(p: Pieces, part: pa.RecordBatch) -> pa.RecordBatch:
