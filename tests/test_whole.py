@@ -130,3 +130,10 @@ def test_patches_from_all_markers(spark, small):
                 least[i] = min(v, least.get(i, np.inf))
     got = {r.id: r.distance for r in catalog.QUERIES["manifold_filter"](spark, small).collect()}
     assert len(got) > len(x) / 2 and got == pytest.approx(least, abs=1e-3)
+
+
+def test_connected_k_beyond_the_first_guess(spark):
+    rows = [(i, float(i % 6 + 1000 * (i // 6)), 0.0, 0.0) for i in range(12)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    # five others in a cluster, so the sixth is the first in the other one
+    assert shape.smallest_connected_k(p, 64.0, 2) == 6

@@ -171,15 +171,23 @@ def knn_edges(points: DataFrame, k: int, radius: float, axes: tuple[str, ...] =
 
 
 def smallest_connected_k(points: DataFrame, radius: float, most: int = 64) -> int:
-    """Least k whose nearest-neighbour graph (edges both ways) is one piece."""
+    """Least k whose nearest-neighbour graph (edges both ways) is one piece; ``most`` is looked at first and doubled until it is."""
     from voxelspark.functions.storage import cut
 
-    edges = cut(knn_join(points, points, most, radius, other_than_self=True).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "rank"))
-    low, high = 1, most
+    def connected(k: int) -> bool:
+        return components(points.select("id"), edges.where(F.col("rank") <= k)).select("component").distinct().limit(2).count() <= 1
+
+    low, others = 1, points.count() - 1
+    while True:
+        edges = cut(knn_join(points, points, most, radius, other_than_self=True).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "rank"))
+        # with edges to all others there is one piece
+        if most >= others or connected(most):
+            break
+        low, most = most + 1, 2 * most
+    high = most
     while low < high:
         k = (low + high) // 2
-        pieces = components(points.select("id"), edges.where(F.col("rank") <= k)).select("component").distinct().limit(2).count()
-        low, high = (low, k) if pieces <= 1 else (k + 1, high)
+        low, high = (low, k) if connected(k) else (k + 1, high)
     return low
 
 
