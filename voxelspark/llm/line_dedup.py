@@ -49,16 +49,18 @@ def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text
     total = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     names = [f"_line{k}" for k in range(len(docs.columns))]
     held, text = docs.toDF(*names), names[docs.columns.index(text_col)]
+    found = found.toDF("_listed_host", "_listed")
     listed = F.broadcast(found) if total <= BROADCAST_LINES else found
-    both = held.join(listed, F.col(names[docs.columns.index(host_col)]).eqNullSafe(F.col("host")), "left")
-    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(F.col("lines"), _key(x)), F.lit(False)))
-    clean = F.when(F.col("lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = [clean.alias(c) if n == text else F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    both = held.join(listed, F.col(names[docs.columns.index(host_col)]).eqNullSafe(F.col("_listed_host")), "left")
+    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(F.col("_listed"), _key(x)), F.lit(False)))
+    clean = F.when(F.col("_listed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    out = [clean if n == text else F.col(n) for n in names]
     if counts:
         n_lines = F.coalesce(F.size(_lines(text)), F.lit(0))
-        n_kept = F.when(F.col("lines").isNull(), n_lines).otherwise(F.coalesce(F.size(kept), F.lit(0)))
-        out += [F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(n_lines - n_kept).cast("long").alias("n_removed")]
-    return both.select(*out)
+        n_kept = F.when(F.col("_listed").isNull(), n_lines).otherwise(F.coalesce(F.size(kept), F.lit(0)))
+        out += [F.when(F.col(text).isNull(), 0).otherwise(n).cast("long") for n in (n_lines, n_lines - n_kept)]
+    # names come last: an alias beside the expressions could be taken for one of their columns
+    return both.select(*[c.alias(f"_out{k}") for k, c in enumerate(out)]).toDF(*docs.columns, *(["n_lines", "n_removed"] if counts else []))
 
 
 ORACLE = r"""
