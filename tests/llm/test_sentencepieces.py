@@ -43,16 +43,31 @@ def test_round_trip():
             assert P.decode(ids) == text.replace("▁", " ")
 
 
-def test_bulk_search_is_the_search():
+def test_two_best_are_the_search(monkeypatch):
     r = random.Random(1)
-    parts = sorted({"".join(r.choice("▁theinga🎉éñ.b") for _ in range(r.randint(1, 20))) for _ in range(400)})
+    texts = [None, ""] + ["".join(r.choice("▁  theinga🎉éñ.b") for _ in range(r.randint(1, 40))) for _ in range(400)]
     q = S.Pieces(PATH)
-    q.bulk(parts)
-    for p in parts:
-        found = P.search(p, 3)
-        score, ids, loss, _ = q.known[p]
-        assert score == pytest.approx(found[0][0]) and loss == pytest.approx(found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
-        assert len(found) > 1 and found[0][0] == found[1][0] or ids == found[0][1]
+    # so few that parts are forgotten and searched again
+    monkeypatch.setattr(S, "MEMORY", 100)
+    for k in range(0, len(texts), 50):
+        for text, (score, second, ids, decimal, spelt) in zip(texts[k : k + 50], q.two_best(texts[k : k + 50])):
+            want = P.nbest(text, 2)
+            assert score == pytest.approx(want[0][0]) and (second == pytest.approx(want[1][0]) if len(want) > 1 else second is None)
+            ids = memoryview(ids).cast("i").tolist()
+            assert ids == want[0][1] and decimal == " ".join(map(str, ids))
+            assert spelt == (P.decode(ids) == (text or "").replace("▁", " "))
+
+
+def test_paths_that_cost_the_same():
+    """The three best by keeping the three best of every position, also where paths tie."""
+    r = random.Random(2)
+    for part in {"".join(r.choice("▁aethin") for _ in range(r.randint(1, 14))) for _ in range(300)}:
+        _, arcs = P.arcs(part)
+        tops = [[0.0]]
+        for b in range(1, len(part) + 1):
+            tops.append(sorted((x + s for a, s, _ in arcs[b] for x in tops[a]), reverse=True)[:3])
+        found = P.search(part, 3)
+        assert [s for s, _ in found] == pytest.approx(tops[-1]) and len({i for _, i in found}) == len(found)
 
 
 def test_long_runs():
@@ -83,6 +98,13 @@ def test_documents(spark, small):
     assert back == {r.doc_id: r.text for r in docs.collect()}
 
 
+def test_nbest_rows(spark):
+    df = spark.createDataFrame([(1, "in the end", 7), (2, None, 8), (1, "a", 9)], "doc_id long, text string, rank long")
+    got = [(r.doc_id, r["rank"], r.score, r.ids) for r in S.encode_nbest(df, PATH, 3).collect()]
+    assert got == [(k, rank, *x) for k, t in ((1, "in the end"), (2, None), (1, "a")) for rank, x in enumerate(P.nbest(t, 3), 1)]
+    assert S.encode_nbest(df.limit(0), PATH, 3).count() == 0
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "▁", 3), (2, "▁", 3)], "doc_id long, text string, score long")
     got = S.encode(df, PATH).collect()

@@ -5,9 +5,9 @@ position the best score of any path that reaches it; these are exact heuristics
 backward from the end, so paths leave the queue best first and the first ``n`` that reach the start are the
 ``n`` best. Pieces hold a space mark only in front, and (in vocabularies where that is so) never Latin letters
 beside ASCII signs or digits, so every path passes the places where a run of spaces begins and where those meet; the
-lattice falls apart there, each distinct part is searched once a task (as long as it is remembered), and the best whole
-segmentations are combined from the parts' own: of all the places where a part could take a lesser
-segmentation only the cheapest ``n - 1`` steps can matter.
+lattice falls apart there, each distinct part is searched once a task (as long as it is remembered), whatever its
+length, and the best whole segmentations are combined from the parts' own: of all the places where a part could take a
+lesser segmentation only the cheapest ``n - 1`` steps can matter.
 
 Pieces and scores come from the vocabulary file (its model type is not used: scores are read as the
 additive scores of a unigram lattice, whatever trained them). A character that starts no piece costs ``UNKNOWN`` less
@@ -26,10 +26,13 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -38,14 +41,12 @@ from pyspark.sql import DataFrame
 from voxelspark.llm.workers import text_batches, tidy
 
 SPACE, UNKNOWN = "▁", 10.0
-#: Parts remembered by a task, and the length up to which a part is; longer ones are searched each time.
-MEMORY, LONG = 250_000, 64
-#: More than any character's number.
-WIDTH = 1 << 21
+#: Parts of a generation remembered by a task, and characters of them.
+MEMORY, CHARACTERS = 150_000, 4_000_000
 #: Texts coded at once.
 TEXTS = 100
-#: Pieces by which equal paths are put in order; further on any order is as good.
-ORDER = 64
+#: Bounds this close count as equal: sums of the same scores in another order.
+SLACK = 1e-9
 #: Scores at or below this mark pieces that are never chosen; they don't count as the worst.
 NEVER = -1e8
 _LATIN, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"\x00-@\[-`{-\x7f"
@@ -54,25 +55,6 @@ _SPACES, _WORDS = re.compile("▁*[^▁]*"), re.compile(f"▁*(?:[{_LATIN}]+|[{_
 _OTHER, _ACROSS = re.compile(f"[^{_LATIN}{_SIGNS}▁]"), re.compile(f"[{_LATIN}][{_SIGNS}]|[{_SIGNS}][{_LATIN}]")
 
 
-class Link:
-    """Ids of a piece and what follows it; in order of the next ``ORDER`` ids, looked at only where paths are equal otherwise."""
-
-    __slots__ = ("ids", "then")
-
-    def __init__(self, ids: tuple[int, ...], then: "Link | None"):
-        self.ids, self.then = ids, then
-
-    def __lt__(self, other: "Link | None") -> bool:
-        a, b = self, other
-        for _ in range(ORDER):
-            if a is b or a is None or b is None:
-                return a is None and b is not None
-            if a.ids != b.ids:
-                return a.ids < b.ids
-            a, b = a.then, b.then
-        return False
-
-
 class Pieces:
     """Piece table of one vocabulary."""
 
@@ -81,33 +63,18 @@ class Pieces:
         n = p.get_piece_size()
         plain = [i for i in range(n) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         self.names = [p.id_to_piece(i) for i in range(n)]
-        #: pieces by their characters: character -> [what follows, (score, ids) of the piece that ends here or None]
-        self.trie: dict = {}
+        #: finds every piece that ends at a position: (length, score, ids)
+        self.found = ahocorasick.Automaton()
         for i in plain:
-            node = self.trie
-            for c in self.names[i]:
-                at = node.setdefault(c, [{}, None])
-                node = at[0]
-            at[1] = (p.get_score(i), (i,))
-        # the same as arrays: (node, character) -> node, and the piece that ends at a node
-        keys, to, self.node_id, pending = [], [], [-1], [(0, self.trie)]
-        while pending:
-            at, node = pending.pop()
-            for c, (after, piece) in node.items():
-                keys.append(at * WIDTH + ord(c))
-                to.append(len(self.node_id))
-                pending.append((len(self.node_id), after))
-                self.node_id.append(piece[1][0] if piece else -1)
-        order = np.argsort(keys)
-        self.step_key, self.step_to, self.node_id = np.array(keys)[order], np.array(to)[order], np.array(self.node_id)
-        self.scores = np.array([p.get_score(i) for i in range(n)], float)
+            self.found.add_word(self.names[i], (len(self.names[i]), p.get_score(i), (i,)))
+        self.found.make_automaton()
+        self.single = {self.names[i] for i in plain if len(self.names[i]) == 1}
         self.byte = {int(self.names[i][1:-1], 16): i for i in range(n) if p.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         self.unknown = min(p.get_score(i) for i in plain if p.get_score(i) > NEVER) - UNKNOWN
-        #: of each part met: its best score, the ids of that, what the second best costs, and the part
-        self.known: dict[str, tuple] = {}
-        #: the ids of the second best of parts, as far as they were asked for
-        self.second: dict[str, tuple[int, ...]] = {}
+        #: of each part met: its best score, what the second best costs, the best's ids as 32-bit numbers and in decimal, and whether they spell the part
+        self.known: dict[str, tuple[float, float, bytes, str, bool]] = {}
+        self.older, self.held = {}, 0
         self.raw = [bytes([self.value[i]]) if i in self.value else self.names[i].encode() for i in range(n)]
         # no piece may reach across a place where the text is cut
         bare = [self.names[i].lstrip(SPACE) for i in plain]
@@ -116,136 +83,78 @@ class Pieces:
 
     def arcs(self, part: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
         """Forward Viterbi: the best score at each position, and the pieces that end there as (start, score, ids)."""
-        size = len(part)
-        best, out = [0.0] + [-math.inf] * size, [[] for _ in range(size + 1)]
-        trie = self.trie
-        for a in range(size):
-            node, here, single = trie, best[a], True
-            for b in range(a, size):
-                at = node.get(part[b])
-                if at is None:
-                    break
-                node, piece = at
-                if piece is not None:
-                    single = single and b > a
-                    out[b + 1].append((a, *piece))
-                    if here + piece[0] > best[b + 1]:
-                        best[b + 1] = here + piece[0]
-            if single:
-                out[a + 1].append((a, self.unknown, tuple(self.byte[x] for x in part[a].encode())))
-                best[a + 1] = max(best[a + 1], here + self.unknown)
+        best, out = [0.0] + [-math.inf] * len(part), [[] for _ in range(len(part) + 1)]
+        found = self.found.iter(part)
+        if not self.single.issuperset(part):
+            lone = [(k, (1, self.unknown, tuple(self.byte[x] for x in c.encode()))) for k, c in enumerate(part) if c not in self.single]
+            found = sorted([*found, *lone], key=itemgetter(0))
+        for b, (length, score, ids) in found:
+            b += 1
+            a = b - length
+            out[b].append((a, score, ids))
+            score += best[a]
+            if score > best[b]:
+                best[b] = score
         return best, out
 
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a part, best first: A* backward from the end with exact heuristics.
 
-        Paths leave the queue in the order of what is best in all, so no position needs to be passed more than ``n`` times;
-        they hold a link to the path they go on from. Time and memory are linear in the length.
+        Paths leave the queue in the order of what is best in all, so no position needs to be passed more than ``n`` times.
+        Bounds are exact, so each path in the queue stands for a whole one that costs just its bound: what is beyond the
+        ``n`` least of them never enters. Paths hold a link to the path they go on from; time and memory are linear in the length.
         """
         best, arcs = self.arcs(part)
         push, pop = heapq.heappush, heapq.heappop
-        # (bound on the whole path, pieces after the position, link to them, position, score after it)
-        heap: list[tuple] = [(-best[-1], 0, None, len(part), 0.0)]
-        passed, out = [0] * (len(part) + 1), []
+        # (bound on the whole path, pieces after the position, a running number, position, score after it, link: a piece and what follows)
+        heap: list[tuple] = [(-best[-1], 0, 0, len(part), 0.0, None)]
+        passed, out, serial = [0] * (len(part) + 1), [], 0
+        # the least bounds of paths beside the first one
+        beside, limit = [], math.inf
         while heap and len(out) < n:
-            _, count, link, at, after = pop(heap)
+            bound, count, _, at, after, link = pop(heap)
             if at == 0:
-                ids = []
+                ids: list[int] = []
                 while link:
-                    ids += link.ids
-                    link = link.then
+                    ids += link[0]
+                    link = link[1]
                 out.append((after, tuple(ids)))
                 continue
             if passed[at] == n:
                 continue
             passed[at] += 1
-            for a, s, i in arcs[at]:
+            here, first = arcs[at], True
+            for a, s, i in here:
+                total = -(best[a] + s + after)
+                if first and total <= bound + SLACK:
+                    first = False
+                elif total > limit + SLACK:
+                    continue
+                else:
+                    insort(beside, total)
+                    if len(beside) >= n:
+                        beside.pop()
+                    if len(beside) == n - 1:
+                        limit = beside[-1] if beside else bound
                 if passed[a] < n:
-                    push(heap, (-(best[a] + s + after), count + len(i), Link(i, link), a, s + after))
+                    serial += 1
+                    push(heap, (total, count + len(i), serial, a, s + after, (i, link)))
         return out
 
-    def bulk(self, parts: list[str]) -> None:
-        """The best of many parts and what the second best costs: lattices and Viterbi passes as arrays, then A* on each."""
-        sizes = np.array([len(p) for p in parts])
-        text = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        first = np.cumsum(sizes) - sizes
-        last = np.repeat(first + sizes, sizes)
-        # walk the trie from all positions at once, as long as any piece goes on
-        start, node, reach = np.arange(len(text)), np.zeros(len(text), np.int64), 0
-        arcs = []
-        while len(start):
-            key = node * WIDTH + text[start + reach]
-            at = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            on = self.step_key[at] == key
-            start, node, reach = start[on], self.step_to[at[on]], reach + 1
-            ends = self.node_id[node] >= 0
-            arcs.append((start[ends], np.full(ends.sum(), reach), self.node_id[node[ends]]))
-            if reach == 1:
-                lone = np.ones(len(text), bool)
-                lone[start[ends]] = False
-                lone = np.flatnonzero(lone)
-                arcs.append((lone, np.ones(len(lone), int), np.full(len(lone), -1)))
-            on = start + reach < last[start]
-            start, node = start[on], node[on]
-        start, length, piece = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        score = np.where(piece >= 0, self.scores[piece], self.unknown)
-        # positions of a part: one for each character and one for its end
-        shift = np.repeat(np.arange(len(parts)), sizes)[start]
-        a = start + shift
-        b = a + length
-        order = np.argsort(b, kind="stable")
-        a, b, score, piece, start = a[order], b[order], score[order], piece[order], start[order]
-        base = first + np.arange(len(parts))
-        best = np.full(len(text) + len(parts), -np.inf)
-        best[base] = 0.0
-        offset = b - base[shift[order]]
-        by = np.argsort(offset, kind="stable")
-        for some in np.split(by, np.flatnonzero(np.diff(offset[by])) + 1):
-            np.maximum.at(best, b[some], best[a[some]] + score[some])
-        # heuristics are exact, so of a queue for the two best only the head and the runner-up matter: the head goes on
-        # along the best arc into each position, the runner-up is the least that is lost by another arc into one of them
-        value = best[a] + score
-        owner = shift[order]
-        rank = np.lexsort((-value, b))
-        a, b, value, piece, owner = a[rank], b[rank], value[rank], piece[rank], owner[rank]
-        lead = np.flatnonzero(np.diff(b, prepend=-1))
-        arc = np.zeros(len(best), np.int64)
-        arc[b[lead]] = lead
-        other = np.minimum(lead + 1, len(b) - 1)
-        gap = np.full(len(best), np.inf)
-        gap[b[lead]] = np.where((other > lead) & (b[other] == b[lead]), value[lead] - value[other], np.inf)
-        at, loss, on = base + sizes, np.full(len(parts), np.inf), np.zeros(len(b), bool)
-        going = np.arange(len(parts))
-        while len(going):
-            here = at[going]
-            loss[going] = np.minimum(loss[going], gap[here])
-            on[arc[here]] = True
-            at[going] = a[arc[here]]
-            going = going[at[going] != base[going]]
-        found, owner = piece[on], owner[on]
-        edge = np.searchsorted(owner, np.arange(len(parts) + 1)).tolist()
-        odd = set(owner[found < 0].tolist())
-        found = found.tolist()
-        for k, (part, whole, less) in enumerate(zip(parts, best[base + sizes].tolist(), loss.tolist(), strict=True)):
-            # a path over a character without a piece has its bytes to spell out
-            ids = self.search(part, 1)[0][1] if k in odd else tuple(found[edge[k] : edge[k + 1]])
-            self.known[part] = (whole, ids, less, part)
-
     def learn(self, cuts: list[list[str]]) -> None:
-        """Search the parts of a batch of texts that aren't known yet."""
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-            self.second.clear()
-        known = self.known
-        new = {p for parts in cuts for p in parts if p not in known}
-        for p in [p for p in new if len(p) > LONG]:
-            found = self.search(p, 2)
-            known[p] = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else math.inf, p)
-            if len(found) > 1:
-                self.second[p] = found[1][1]
-        rest = sorted(p for p in new if len(p) <= LONG)
-        for i in range(0, len(rest), 20_000):
-            self.bulk(rest[i : i + 20_000])
+        """Search the parts of a batch of texts that aren't known yet; of two generations of known ones the older is forgotten."""
+        if len(self.known) >= MEMORY or self.held >= CHARACTERS:
+            self.older, self.known, self.held = self.known, {}, 0
+        known, older, raw = self.known, self.older, self.raw
+        for part in {p for parts in cuts for p in parts if p not in known}:
+            self.held += len(part)
+            if part in older:
+                known[part] = older[part]
+                continue
+            found = self.search(part, 2)
+            score, ids = found[0]
+            less = score - found[1][0] if len(found) > 1 else math.inf
+            known[part] = (score, less, array("i", ids).tobytes(), " ".join(map(str, ids)), b"".join([raw[i] for i in ids]) == part.encode())
 
     def marked(self, text: str) -> str:
         """The text as the lattice sees it: a space in front, spaces as marks."""
@@ -263,31 +172,16 @@ class Pieces:
     def nbest_all(self, texts: list[str | None], n: int) -> list[list[tuple[float, list[int]]]]:
         cuts = [self.cut(text or "") for text in texts]
         self.learn(cuts)
-        known = self.known.__getitem__
-        return [self.combined(list(map(known, parts)), n) for parts in cuts]
-
-    def combined(self, parts: list[tuple], n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best of the whole, from what is known of its parts."""
-        best = [p[1] for p in parts]
-        base = sum([p[0] for p in parts])
-        out = [(base, list(chain.from_iterable(best)))]
-        if n == 1 or not parts:
-            return out
+        return [self.combined(parts, n) for parts in cuts]
+
+    def combined(self, parts: list[str], n: int) -> list[tuple[float, list[int]]]:
+        """The ``n`` best of the whole, from those of its parts."""
+        known = [self.known[p] for p in parts]
+        best = [array("i", p[2]).tolist() for p in known]
+        base = sum([p[0] for p in known])
         # the parts whose second best costs least: others can't be in the n best
-        loss = [p[2] for p in parts]
-        if n == 2:
-            least = min(loss)
-            if least < math.inf:
-                k = loss.index(least)
-                part = parts[k][3]
-                lesser = self.second.get(part)
-                if lesser is None:
-                    # of equal ones the search may meet another first
-                    lesser = self.second[part] = next(ids for _, ids in self.search(part, 2) if ids != best[k])
-                out.append((base - least, list(chain(*best[:k], lesser, *best[k + 1 :]))))
-            return out
-        some = sorted(k for x, k in heapq.nsmallest(n - 1, zip(loss, range(len(loss)), strict=True)) if x < math.inf)
-        lesser = {k: self.search(parts[k][3], n) for k in some}
+        some = sorted(k for x, k in heapq.nsmallest(n - 1, zip([p[1] for p in known], range(len(known)), strict=True)) if x < math.inf)
+        lesser = {k: self.search(parts[k], n) for k in some}
         seen, heap = {(0,) * len(some)}, [(0.0, (0,) * len(some))]
         out = []
         while heap and len(out) < n:
@@ -301,6 +195,22 @@ class Pieces:
                     heapq.heappush(heap, (sum(lesser[m][0][0] - lesser[m][c][0] for m, c in zip(some, after, strict=True)), after))
         return out
 
+    def two_best(self, texts: list[str | None]) -> Iterator[tuple[float, float | None, bytes, str, bool]]:
+        """Of each text the best score, the second best's, and the best's ids (32-bit numbers, decimal) and whether decoding them gives the text back.
+
+        Decoding puts pieces' bytes end to end, so a text comes back if each part does.
+        """
+        cuts = [self.cut(text or "") for text in texts]
+        self.learn(cuts)
+        known = self.known.__getitem__
+        for parts in cuts:
+            if parts:
+                scores, losses, ids, decimal, spelt = zip(*map(known, parts))
+                score, less = sum(scores), min(losses)
+                yield score, None if less == math.inf else score - less, b"".join(ids), " ".join(decimal), all(spelt)
+            else:
+                yield 0.0, None, b"", "", True
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
@@ -311,7 +221,7 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, n: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``id_col, n_pieces, score, second_score, ids_sha256, decoded`` of every row, and ``ids`` if asked for.
 
     ``second_score`` is that of the next best segmentation (null if there is none), ``ids_sha256`` the hash of the
@@ -326,24 +236,24 @@ def encode(docs: DataFrame, vocabulary: str, n: int = 2, id_col: str = "doc_id",
                 for first in range(0, len(batch), TEXTS):
                     yield coded(p, batch.slice(first, TEXTS))
         finally:  # a worker goes on to other operators
-            p.known.clear()
-            p.second.clear()
+            p.known, p.older, p.held = {}, {}, 0
             gc.enable()
 
     def coded(p: Pieces, part: pa.RecordBatch) -> pa.RecordBatch:
         count, score, second, digest, same, all_ids = [], [], [], [], [], []
-        texts = part.column(1).to_pylist()
-        for text, found in zip(texts, p.nbest_all(texts, n), strict=True):
-            ids = found[0][1]
-            count.append(len(ids))
-            score.append(found[0][0])
-            second.append(found[1][0] if len(found) > 1 else None)
-            digest.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            same.append(p.decode(ids) == (text or "").replace(SPACE, " "))
+        for best, next_best, ids, decimal, spelt in p.two_best(part.column(1).to_pylist()):
+            count.append(len(ids) // 4)
+            score.append(best)
+            second.append(next_best)
+            digest.append(hashlib.sha256(decimal.encode()).hexdigest())
+            same.append(spelt)
             if with_ids:
                 all_ids.append(ids)
         columns = [part.column(0), pa.array(count, pa.int64()), pa.array(score, pa.float64()), pa.array(second, pa.float64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=names)
+        if with_ids:
+            ends = np.cumsum([0, *count], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     text_batches(docs.sparkSession)
     names = [id_col, "n_pieces", "score", "second_score", "ids_sha256", "decoded"] + ["ids"] * with_ids
@@ -351,6 +261,25 @@ def encode(docs: DataFrame, vocabulary: str, n: int = 2, id_col: str = "doc_id",
     return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_pieces long, score double, second_score double, ids_sha256 string, decoded boolean" + ", ids array<int>" * with_ids)
 
 
+def encode_nbest(docs: DataFrame, vocabulary: str, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, rank, score, ids`` of the ``n`` best segmentations of every row (as many as there are), best first from rank 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(vocabulary)
+        for batch in batches:
+            for first in range(0, len(batch), TEXTS):
+                part = batch.slice(first, TEXTS)
+                found = [(k, rank, *x) for k, row in enumerate(p.nbest_all(part.column(1).to_pylist(), n)) for rank, x in enumerate(row, 1)]
+                row, rank, score, ids = zip(*found, strict=True) if found else ((),) * 4
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "rank", "score", "ids"]
+                )
+
+    text_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, rank int, score double, ids array<int>")
+
+
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col, text`` of every row of piece ids; null ids give a null text."""
 
