@@ -46,6 +46,53 @@ def test_everything_probed_is_exact(spark, monkeypatch, points, queries):
     assert found(spark, ids, x, success=0.99999, every=4, k=5) == brute(ids, x, 4, 5)
 
 
+def test_ties(spark):
+    """Few distinct scores, many ties at the cut: the smaller id decides."""
+    r = np.random.default_rng(5)
+    x = r.integers(-1, 2, (260, 6)).astype(np.float64)
+    x[(x == 0).all(axis=1), 0] = 1.0
+    ids = r.permutation(1000)[:260].tolist()
+    for success in (0.62, 0.99999):
+        got = found(spark, ids, x, every=7, k=5, success=success)
+        assert all(rows == sorted(rows, key=lambda r: (-r[1], r[0])) for rows in got.values())
+    assert got == brute(ids, x, 7, 5)
+
+
+def test_best_of_tied_scores():
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        import pyarrow as pa
+
+        x, p = r.integers(0, 2, (200, 4)).astype(float), r.permutation(500)[:200]
+        points = pa.table({"p": p, "vector": pa.array(x.tolist())})
+        got = N._best(7)(points, pa.table({"q": [1], "vector": [[1.0, 1.0, 0.0, 0.0]]}))
+        want = sorted(range(200), key=lambda i: (-(x[i, 0] + x[i, 1]), p[i]))[:7]
+        assert got["p"].to_pylist() == [p[i] for i in want]
+
+
+@pytest.mark.parametrize("projections", [4, 6])
+def test_recall_with_more_projections(spark, projections):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    x, ids = np.array(df.embedding.tolist()).astype(np.float64), df.vec_id.tolist()
+    got, want = found(spark, ids, x, projections=projections), brute(ids, x)
+    assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert [N.projections_for(n) for n in (0, 1, 100_000, 100_001, 10**6, 10**9)] == [3, 3, 3, 4, 6, 12]
+
+
+def test_lengths_apart(spark):
+    r = np.random.default_rng(7)
+    rows = [(k, r.normal(size=3 if k % 3 else 2).round(2).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for q in N.search(df, every=4, k=4, success=0.99999).collect():
+        got.setdefault(q.query_id, []).append(q.vec_id)
+    for q, v in rows:
+        if q % 4 == 0:
+            others = [(float(N.exact(np.array(v), np.array([w]))[0]), i) for i, w in rows if i != q and len(w) == len(v)]
+            others.sort(key=lambda x: (-x[0], x[1]))
+            assert sorted(got[q]) == sorted(i for _, i in others[:4])
+
+
 def test_few_and_odd_rows(spark):
     nan = float("nan")
     rows = [(20, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.5, 1.0]), (40, None), (60, [nan, 1.0]), (80, [0.0, 0.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (3, [1.0])]

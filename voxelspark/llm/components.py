@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Only minima and joins: a hub with any number of edges is never gathered in one place, nothing but two
-numbers a round reaches the driver, and each round is written to the shared folder.
+Only minima and joins: minima are taken before the shuffle, a hub's edges stay where they are and the hub is sent to
+them, nothing but two numbers a round reaches the driver, and each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.llm.hot import join_hot
 from voxelspark.llm.storage import cut
 
 
@@ -17,7 +18,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,10 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         # each node hands its larger neighbours its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _lowest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = _lowest(both).withColumn("m", F.least("u", "m"))
+        large = cut(join_hot(both, low, ["u"], "degree", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # then hands its smaller neighbours, and itself, the smallest of them
-        small = large.join(_lowest(large), "u")
+        small = join_hot(large, _lowest(large), ["u"], "degree", state[0])
         edges = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         edges, before = cut(edges), state
         state = _state(edges)

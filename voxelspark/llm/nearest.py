@@ -13,10 +13,11 @@ needed), so a vector held by a third of all rows is one entry. Buckets are cut i
 on both sides. A query that meets fewer candidates than asked for is completed by an exact pass in blocks.
 
 Only the typical neighbour distance is taken from a bounded sample (``SAMPLE`` vectors); every vector is
-indexed. Defined results: vectors that are null, empty, zero or hold null or non-finite components, vectors
-of another length than the commonest and rows without id take no part; ties go to the smaller id; rows that
-share an id are one candidate each for others and none for themselves; empty tables give empty results;
-extra columns are ignored.
+indexed. The number of projections grows with the logarithm of the number of vectors, so that buckets don't
+grow with it. Defined results: vectors that are null, empty, zero or hold null or non-finite components and
+rows without id take no part; vectors of different lengths have no inner product, so a query's candidates are
+those of its own length; ties go to the smaller id, however many there are; rows that share an id are one
+candidate each for others and none for themselves; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +26,23 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelspark.llm.hot import join_hot
 from voxelspark.llm.storage import cut, table
-from voxelspark.llm.vectors import matrix, rows_of
+from voxelspark.llm.vectors import by_length, matrix, rows_of
 from voxelspark.llm.workers import tidy
 
 SAMPLE, SEED = 2000, 20_240_501
-#: Vectors and queries of a unit, at most.
-POINTS, QUERIES = 4096, 1024
+#: Vectors and queries of a unit, at most (on average of a bucket's units).
+POINTS, QUERIES = 1024, 512
+#: Vectors up to which three projections a table are enough; each further one divides a bucket by about SPLIT.
+FEW, SPLIT = 100_000, 3.0
 _UNIT = "q long, p long, score double"
 
 
@@ -149,14 +154,14 @@ def _best(k: int):
         p, q = points["p"].to_numpy(), queries["q"].to_numpy()
         order = np.argsort(p, kind="stable")
         x, p = x[order], p[order]
-        out = []
+        longest, out = float(np.sqrt((x * x).sum(axis=1)).max()), []
         for i in range(0, len(q), 256):
             rough = y[i : i + 256] @ x.T
-            # a few more than asked for, so that rounding of the product table decides nothing
-            top = min(len(p), k + 8)
-            some = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-            for r in range(len(some)):
-                at = some[r][some[r] >= 0]
+            # all that rounding of the product table may hide among the best, however many: the exact score decides
+            least = np.partition(rough, len(p) - min(len(p), k), axis=1)[:, len(p) - min(len(p), k)]
+            slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((y[i : i + 256] ** 2).sum(axis=1)) * longest
+            for r in range(len(rough)):
+                at = np.flatnonzero(rough[r] >= least[r] - slack[r])
                 score = exact(y[i + r], x[at])
                 best = np.lexsort((p[at], -score))[:k]
                 out.append((np.full(len(best), q[i + r]), p[at][best], score[best]))
@@ -196,26 +201,38 @@ def _calibrated(points: DataFrame, n: int, k: int) -> tuple[int, float, float]:
     return x.shape[1], largest, math.sqrt(max(1e-12, 2 * largest * largest - 2 * product))
 
 
+def projections_for(n: int) -> int:
+    """Projections a table for ``n`` vectors."""
+    return 3 + max(0, math.ceil(math.log(max(n, 1) / FEW, SPLIT)))
+
+
 def search(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, tables: int = 4, projections: int = 3, width: float = 1.2, success: float = 0.62
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, tables: int = 4, projections: int | None = None, width: float = 1.2, success: float = 0.62
 ) -> DataFrame:
     """``query_id, rank, id_col, score`` for each row whose id is divisible by ``every``, against all other rows."""
     rows = table(rows_of(df, id_col, vector_col), "vectors")
+    found = [_search(part, every, k, tables, projections, width, success) for part in by_length(rows)]
+    empty = rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.unionByName, found or [empty]).withColumnRenamed("id", id_col)
+
+
+def _search(rows: DataFrame, every: int, k: int, tables: int, projections: int | None, width: float, success: float) -> DataFrame:
+    """``query_id, rank, id, score`` among vectors of one length."""
     nth = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     few = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
     # a point: its smallest ids (at most k + 1, so the list is bounded)
     points = few.groupBy("vector").agg(F.min("id").alias("p"), F.array_sort(F.collect_list("id")).alias("ids"))
     points = table(points, "vector-points")
     asking = rows.where(F.col("id") % every == 0).distinct()
-    queries = table(asking.join(points.select("vector", "p"), "vector").select(F.col("id").alias("query"), "p"), "vector-queries")
+    # one vector may be asked for by a third of all queries
+    asked_for = asking.groupBy("vector").agg(F.count(F.lit(1)).alias("weight"))
+    known = asked_for.join(points.select("vector", "p"), "vector")
+    queries = table(join_hot(asking, known, ["vector"], "weight", asking.count()).select(F.col("id").alias("query"), "p"), "vector-queries")
     n = points.count()
-    empty = queries.select(F.col("query").alias("query_id"), F.lit(1).alias("rank"), F.col("p").alias(id_col), F.lit(0.0).alias("score")).limit(0)
-    if not n:
-        return empty
     flat = points.select("p", "vector")
     kind = points.schema["vector"].dataType.simpleString()
     asked = flat.join(queries.select("p").distinct(), "p").select(F.col("p").alias("q"), "vector")
-    index = Index.of(*_calibrated(flat, n, k), tables, projections, width, success)
+    index = Index.of(*_calibrated(flat, n, k), tables, projections or projections_for(n), width, success)
     found = _meet(flat.mapInArrow(tidy(_hashed(index)), f"t int, bucket long, p long, vector {kind}"), asked.mapInArrow(tidy(_probed(index)), f"t int, bucket long, q long, vector {kind}"), k + 1)
     found = table(_top(found, k + 1), "vector-found")
     short = cut(asked.join(found.groupBy("q").count(), "q", "left").where(F.coalesce("count", F.lit(0)) < min(n, k + 1)).select("q", "vector"))
@@ -226,6 +243,9 @@ def search(
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     # the k + 1 best of each distinct query vector; one of them may be the query's own row
     members = members.withColumn("place", best).where(F.col("place") <= k + 1).drop("place")
-    each = queries.join(members, queries["p"] == members["q"]).where(F.col("id") != F.col("query"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
+    # a row a query vector, so that the queries of one vector stay where they are if they are many
+    listed = members.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "id", "score"))).alias("best"))
+    askers = queries.groupBy("p").agg(F.count(F.lit(1)).alias("weight"))
+    each = join_hot(queries, listed.join(askers, listed["q"] == askers["p"]).select("p", "weight", "best"), ["p"], "weight", queries.count())
+    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query")), 1, k)
+    return each.select(F.col("query").alias("query_id"), F.posexplode(others).alias("place", "b")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.score").alias("score"))

@@ -21,10 +21,14 @@ def plain(df: DataFrame, vector: str) -> Column:
 
 
 def rows_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` of usable rows with an id; of several lengths only the commonest takes part."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), plain(df, vector_col).alias("vector")).where(usable("vector") & F.col("id").isNotNull())
-    lengths = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("vector") == lengths[0][0]) if lengths else rows
+    """``id, vector`` of usable rows with an id."""
+    return df.select(F.col(id_col).cast("long").alias("id"), plain(df, vector_col).alias("vector")).where(usable("vector") & F.col("id").isNotNull())
+
+
+def by_length(rows: DataFrame) -> list[DataFrame]:
+    """``rows`` of each length of vector that occurs, shortest first: vectors of different lengths can't be compared."""
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    return [rows.where(F.size("vector") == d) for d in lengths] if len(lengths) > 1 else [rows] * len(lengths)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
