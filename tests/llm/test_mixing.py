@@ -23,6 +23,22 @@ def test_sql(spark, sf):
     same(mixing.takings(docs).toPandas(), sql(mixing.ORACLE, d))
 
 
+def test_levels_are_the_same_plan(spark, monkeypatch):
+    """However few rows a bucket may hold, the thresholds are those of the SQL."""
+    d = "/root/testdata/sf0.01"
+    monkeypatch.setattr(mixing, "FEW", 2)
+    same(mixing.takings(spark.read.parquet(f"{d}/documents.parquet")).toPandas(), sql(mixing.ORACLE, d))
+
+
+def test_one_giant_document(spark):
+    rows = [(1, "w " * 200_000, "a")] + [(k, "w " * 10, "b") for k in range(2, 30)] + [(k, "w " * 7, None) for k in range(30, 50)]
+    got = mixing.takings(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    by = {r.doc_id: r for r in got.itertuples()}
+    assert by[1].taken in (0, 200_000) and (got.taken <= 3 * got["size"]).all()
+    # the small sources are taken as often as is allowed
+    assert all(by[k].taken == 3 * (10 if k < 30 else 7) for k in range(2, 50))
+
+
 def test_targets_and_takings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = mixing.takings(docs).toPandas().merge(docs.select("doc_id", "source").toPandas(), on="doc_id")

@@ -4,7 +4,8 @@ Pages are grouped by host; for each line the pages of the host that contain it a
 the host; lines above the boilerplate ratio are dropped from every page of the host. Lines are compared
 without surrounding spaces; a line counts once a page however often it stands there. A host can have at
 most (lines a page / ratio) such lines, so the list a page needs is short whatever the host's size, and
-texts are never shuffled unless the lists of all hosts together outgrow ``BROADCAST_LINES``.
+texts are never shuffled unless the lists of all hosts together outgrow ``BROADCAST_LINES``; then the lists of
+hosts with a large part of all pages are sent to the pages all the same, and no task gets such a host's texts.
 
 Defined results: blank lines are kept and never counted; a null text stays null with 0 lines; a null host
 is a host of its own; a line needs ``min_pages`` pages (a ratio says nothing on a host of two pages);
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.llm.hot import join_hot
 from voxelspark.llm.storage import table
 
 RATIO, MIN_PAGES = 0.1, 5
@@ -34,13 +36,13 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """``host, lines``: the keys of each host's boilerplate lines."""
+    """``host, pages, lines``: the keys of each host's boilerplate lines."""
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     once = F.filter(F.array_distinct(F.transform(_lines("text"), _key)), lambda k: k.isNotNull())
     counts = pages.select("host", F.explode(once).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     frequent = counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).where(F.col("n") / F.col("pages") > ratio)
-    return frequent.groupBy(F.col("c.host").alias("host")).agg(F.collect_list("line").alias("lines"))
+    return frequent.groupBy(F.col("c.host").alias("host")).agg(F.first("pages").alias("pages"), F.collect_list("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
@@ -48,10 +50,13 @@ def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text
     found = table(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
     total = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     names = [f"_line{k}" for k in range(len(docs.columns))]
-    held, text = docs.toDF(*names), names[docs.columns.index(text_col)]
-    found = found.toDF("_listed_host", "_listed")
-    listed = F.broadcast(found) if total <= BROADCAST_LINES else found
-    both = held.join(listed, F.col(names[docs.columns.index(host_col)]).eqNullSafe(F.col("_listed_host")), "left")
+    held, text, host = docs.toDF(*names), names[docs.columns.index(text_col)], names[docs.columns.index(host_col)]
+    found = found.toDF(host, "_pages", "_listed")
+    if total <= BROADCAST_LINES:
+        listed = F.broadcast(found.select(F.col(host).alias("_host"), "_listed"))
+        both = held.join(listed, F.col(host).eqNullSafe(F.col("_host")), "left")
+    else:
+        both = join_hot(held, found, [host], "_pages", held.count(), "left", null_safe=True)
     kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(F.col("_listed"), _key(x)), F.lit(False)))
     clean = F.when(F.col("_listed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     out = [clean if n == text else F.col(n) for n in names]

@@ -7,8 +7,10 @@ of weight, the clamped sources are a prefix, so two running sums over the source
 
 A source is then repeated ``floor(target / words)`` times whole; the fraction left is sampled: documents
 in order of a seeded hash of their id, as long as they fit, then again (``FILL_ROUNDS`` times in all)
-those small enough for what is left. A round is one threshold a source, found through sums over 4096
-hash buckets and the one bucket where the sum crosses, so no task ever holds a source.
+those small enough for what is left. A round is one threshold a source, found level by level: sums over
+sixteen hash buckets a source show the one where the running sum crosses, the next level looks into that
+one alone, until it holds about ``FEW`` rows of the largest source; so no task ever holds a source, and
+only tables of a row a source and bucket are ordered.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source is a source of its
 own, last in order; rows that share an id are taken or left together; a source without words gets target
@@ -17,6 +19,8 @@ own, last in order; rows that share an id are taken or left together; a source w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +28,9 @@ from voxelspark.llm.storage import cut, table
 
 #: Words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
-SEED, MAX_EPOCHS, FILL_ROUNDS, PREFIX = "mix-1", 3, 3, 3
+SEED, MAX_EPOCHS, FILL_ROUNDS = "mix-1", 3, 3
+#: Rows of a bucket that are put in order one by one.
+FEW = 1000
 #: Greater than every hexadecimal string.
 ALL = "g"
 
@@ -54,22 +60,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Data
     return marked.withColumn("target", target).select("source", "source_size", "target")
 
 
-def _threshold(rows: DataFrame, budget: DataFrame, k: int) -> DataFrame:
+def _threshold(rows: DataFrame, budget: DataFrame, k: int, levels: int) -> DataFrame:
     """For each source of ``budget(source, room)`` the largest hash whose running sum of sizes stays within room.
 
     Gives ``source, upto{k}, room{k}`` (what is left after it).
     """
-    bucket = F.substring("h", 1, PREFIX)
-    sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    crossing = (
-        sums.alias("s").join(budget.alias("b"), same("s", "b")).where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("words") > F.col("room")))
-        .select("b.source", "bucket", "before", "room")
-    )
+    start = lambda n: F.substring("h", 1, n)
+    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = budget.select("source", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"), "room")
+    for level in range(1, levels + 1):
+        # sixteen buckets at most of each source: those inside the bucket where its sum crosses
+        inner = rows.withColumn("in", start(level - 1)).alias("r").join(crossing.alias("c"), same("r", "c") & (F.col("r.in") == F.col("c.bucket"))) if level > 1 else rows.alias("r").join(crossing.alias("c"), same("r", "c"))
+        sums = inner.groupBy("c.source", "before", "room", start(level).alias("bucket")).agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("at", F.col("before") + F.coalesce(F.sum("words").over(running), F.lit(0)))
+        crossing = cut(sums.where((F.col("at") <= F.col("room")) & (F.col("at") + F.col("words") > F.col("room"))).select("source", "bucket", F.col("at").alias("before"), "room"))
     inside = (
-        rows.withColumn("bucket", bucket).alias("r").join(crossing.alias("c"), same("r", "c") & (F.col("r.bucket") == F.col("c.bucket")))
+        rows.withColumn("bucket", start(levels)).alias("r").join(crossing.alias("c"), same("r", "c") & (F.col("r.bucket") == F.col("c.bucket")))
         .select("c.source", "c.bucket", "before", "room", "h", "size")
         .withColumn("sum", F.col("before") + F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
         .where(F.col("sum") <= F.col("room")).groupBy("source").agg(F.max("h").alias("h"), F.max("sum").alias("sum"))
@@ -100,12 +107,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("room0", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     sources = cut(sources)
+    rows_of_largest = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 1
+    levels = max(1, math.ceil(math.log(max(1.0, rows_of_largest / FEW), 16)))
     for k in range(1, FILL_ROUNDS + 1):
         rows = sizes.where("size > 0")
         if k > 1:
             rows = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", *[f"s.{c}" for c in sources.columns if c != "source"])
             rows = rows.where(~_extra(k - 1) & (F.col("size") <= F.col(f"room{k - 1}"))).select("source", "size", "h")
-        found = _threshold(rows, sources.select("source", F.col(f"room{k - 1}").alias("room")), k)
+        found = _threshold(rows, sources.select("source", F.col(f"room{k - 1}").alias("room")), k, levels)
         sources = cut(sources.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source"))).select("s.*", f"upto{k}", f"room{k}"))
     return sizes, sources
 
