@@ -8,7 +8,8 @@ joined. The network is small and is trained here, on ``TRAIN_PAGES`` made-up pag
 
 Defined results: null and empty pages, and pages without main text, give an empty text; character
 references are decoded; white space in a block becomes one space; unclosed and unmatched tags are
-tolerated; repeated rows are extracted each for themselves; extra columns are ignored; empty tables give
+tolerated; an element without text (a form's, a picture's) that is never closed ends with the next tag of a block,
+a script or style that is never closed with the page; a quote opens a value only after an equals sign; repeated rows are extracted each for themselves; extra columns are ignored; empty tables give
 empty results.
 """
 
@@ -34,13 +35,18 @@ PATH_BUCKETS, WORD_BUCKETS, PATH_WIDTH, WORD_WIDTH, HIDDEN, COUNTS = 1024, 1024,
 #: Blocks of all pages that go through the network at once.
 BLOCKS = 8192
 
-#: Tags that don't break a block, tags without content, tags whose content is no text, tags that close themselves.
+#: Tags that don't break a block, tags without content, tags that close themselves.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_SELF = frozenset("p li dt dd tr td th option".split())
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I
-)
+#: Tags that stand within an element without text.
+WITHIN = frozenset("option optgroup source param track path g circle rect line polyline polygon ellipse text tspan defs use symbol title desc".split())
+#: Tags whose content is no text.
+TEXTLESS = frozenset("script style template noscript svg iframe textarea select".split())
+#: What stands in a tag behind its name: a value in quotes may hold a closing bracket.
+_INNER = r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)({_INNER})(?:>|\Z)", re.S)
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in TEXTLESS}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -63,9 +69,10 @@ class Block:
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in document order."""
     page, out = page or "", []
+    # open elements: tag, its items and the distinct items of the path down to it
     stack: list[tuple[str, tuple[int, ...]]] = []
     text: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at, hidden = 0, 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -74,29 +81,40 @@ def blocks_of(page: str | None) -> list[Block]:
             joined = entities.unescape(joined)
         joined = _SPACE.sub(" ", joined).strip()
         if joined:
-            out.append(Block(joined, tuple(i for _, items in stack[-12:] for i in items), len(stack), min(linked, len(joined))))
+            out.append(Block(joined, stack[-1][1] if stack else (), len(stack), min(linked, len(joined))))
         text.clear()
         linked = 0
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
+    while m := _TAG.search(page, at):
+        if m.start() > at and not hidden:
             piece = page[at : m.start()]
             text.append(piece)
             if in_link:
                 linked += len(piece)
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
-        tag = tag.lower()
-        if tag == "a" or tag == "button":
-            in_link = 0 if m[2] else 1
-        if tag in INLINE:
+        tag, closing = tag.lower(), bool(m[1])
+        if tag in TEXTLESS:
+            if not closing and not m[3].rstrip().endswith("/"):
+                end = _CLOSE[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    hidden = True
             continue
+        if tag in ("a", "button"):
+            in_link = 0 if closing else 1
+        if tag in INLINE or (hidden and tag in WITHIN):
+            continue
+        hidden = False
         flush()
         if tag in VOID:
             continue
-        if m[2]:
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -104,8 +122,9 @@ def blocks_of(page: str | None) -> list[Block]:
         else:
             if stack and stack[-1][0] == tag and tag in CLOSES_SELF:
                 stack.pop()
-            stack.append((tag, _items(tag, m[4].strip())))
-    text.append(page[at:])
+            stack.append((tag, tuple(dict.fromkeys((stack[-1][1] if stack else ()) + _items(tag, m[3].strip())))))
+    if not hidden:
+        text.append(page[at:])
     flush()
     return out
 

@@ -1,10 +1,13 @@
 """Toxicity score of whole texts from a weighted lexicon.
 
 Method: the text is folded (case, accents, homoglyphs of other scripts, digits and signs that stand for
-letters inside words), a weighted lexicon of words and word stems is matched by Aho-Corasick, hits that
-lie in an exception phrase are cancelled, and the summed weight normalised by length gives the score.
-Weights are smoothed log odds learnt from a bounded sample of labelled rows (``SAMPLE_ROWS``); the score
-is a logistic curve over the summed weight and the weight a word, fitted on the same rows.
+letters in words), a weighted lexicon of words and word stems is matched by Aho-Corasick, hits that lie in
+an exception phrase are cancelled, and the summed weight normalised by length gives the score. A sign or
+digit at the end of a word may be a letter or not, so such texts are matched in both readings and each word
+counts in the heavier one. Weights are smoothed log odds learnt from a bounded sample of labelled rows
+(``SAMPLE_ROWS``), and so are exceptions: pairs of words with a lexicon word that clean rows repeat and toxic
+rows don't have. The score is a logistic curve over the summed weight and the weight a word, fitted on the
+same rows.
 
 Defined results: null and empty texts score as texts without a hit; a null id is never held out; repeated
 rows are scored each for themselves; a row without a label takes no part in learning; with no usable
@@ -14,6 +17,7 @@ than id and text are never read. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -30,8 +34,8 @@ from voxelspark.llm.workers import release, text_batches, tidy
 
 #: Labelled rows that are looked at for learning, at most: those whose id has the smallest hash.
 SAMPLE_ROWS = 30_000
-#: Patterns looked at, at most (those in most toxic rows), and the least evidence (in nats) that one is toxic.
-CANDIDATES, EVIDENCE = 20_000, 12.0
+#: Least evidence (in nats) that a pattern is toxic, and clean rows a pair of words needs to be an exception.
+EVIDENCE, HARMLESS = 12.0, 5
 #: Lengths of word stems; least weight (log odds) of a pattern.
 STEMS, LEAST_WEIGHT = range(5, 9), 3.5
 
@@ -62,17 +66,34 @@ def _letters() -> dict[int, str]:
 _LETTERS = _letters()
 _MARKS = re.compile("[̀-ͯ​-‏­﻿]")
 _SUBSTITUTE = re.compile(r"(?:[%s])+(?=[^\W\d_])" % re.escape("".join(SUBSTITUTES)))
+#: The same at the end of a word.
+_FINAL = re.compile(r"(?<=[^\W\d_])[%s]+" % re.escape("".join(SUBSTITUTES)))
 _BREAKS = re.compile(r"[\W\d_]+")
 _SUB_TABLE = str.maketrans(SUBSTITUTES)
 
 
-def fold(text: str | None) -> str:
-    """Words of the folded text between single spaces, with one in front and behind; l and i are one letter."""
+def readings(text: str | None) -> tuple[str, str]:
+    """The folded text twice: without and with the letters that signs at the ends of words may stand for.
+
+    Words stand between single spaces, with one in front and behind, as many in one as in the other; l and i are one letter.
+    """
     text = (text or "").lower()
     if not text.isascii():
         text = _MARKS.sub("", text).translate(_LETTERS)
     text = _SUBSTITUTE.sub(lambda m: m[0].translate(_SUB_TABLE), text)
-    return (" " + _BREAKS.sub(" ", text) + " ").replace("  ", " ").replace("l", "i")
+    spaced = lambda t: f" {x} ".replace("l", "i") if (x := _BREAKS.sub(" ", t).strip()) else " "
+    plain = spaced(text)
+    return plain, spaced(_FINAL.sub(lambda m: m[0].translate(_SUB_TABLE), text)) if _FINAL.search(text) else plain
+
+
+def fold(text: str | None) -> str:
+    return readings(text)[0]
+
+
+def words_of(text: str | None) -> set[str]:
+    """The distinct words of a text in either reading."""
+    plain, other = readings(text)
+    return set(plain.split()) if other is plain else {*plain.split(), *other.split()}
 
 
 def patterns_of(word: str) -> list[str]:
@@ -97,22 +118,36 @@ class Lexicon:
             found.make_automaton()
         return found
 
-    def match(self, automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int, int]:
-        """Summed weight, words hit (the heaviest pattern of each counts) and words."""
-        folded = fold(text)
+    def _hits(self, automaton: ahocorasick.Automaton, folded: str) -> tuple[dict[int, float], set[int]]:
+        """(weight of the heaviest pattern at each place, places that an exception spares)."""
         hits: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        phrases: list[tuple[int, int]] = []
         if len(automaton):
             for end, (length, weight) in automaton.iter(folded):
                 start = end - length + 1
                 if weight is None:
-                    spared.append((start, end))
+                    phrases.append((start, end))
                 elif weight > hits.get(start, 0.0):
                     hits[start] = weight
-        for first, last in spared:
-            for at in [h for h in hits if first <= h < last]:
-                del hits[at]
-        return sum(hits[k] for k in sorted(hits)), len(hits), max(0, folded.count(" ") - 1)
+        return hits, {h for first, last in phrases for h in hits if first <= h < last}
+
+    def match(self, automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int, int]:
+        """Summed weight, words hit (the heaviest pattern of each counts) and words."""
+        plain, other = readings(text)
+        hits, spared = self._hits(automaton, plain)
+        words = max(0, plain.count(" ") - 1)
+        if other is not plain:
+            more, also = self._hits(automaton, other)
+            if more.keys() - hits.keys() or also or more != hits:
+                # by number of the word, which is the same in both
+                nth = lambda folded, places: {h: folded.count(" ", 0, h) for h in places}
+                one, two = nth(plain, hits), nth(other, more)
+                spared = {one[h] for h in spared} | {two[h] for h in also}
+                hits = {one[h]: w for h, w in hits.items()}
+                for h, w in more.items():
+                    hits[two[h]] = max(w, hits.get(two[h], 0.0))
+        kept = [hits[k] for k in sorted(hits) if k not in spared]
+        return sum(kept), len(kept), words
 
     def score(self, weight: np.ndarray, words: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
@@ -151,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 counts: Counter[str] = Counter()
                 for batch in batches:
                     for text in batch.column(0):
-                        found = {p for w in set(fold(text.as_py()).split()) for p in patterns_of(w)}
+                        found = {p for w in words_of(text.as_py()) for p in patterns_of(w)}
                         counts.update(found if wanted is None else found & wanted)
                         if len(counts) > 200_000:
                             yield pa.RecordBatch.from_pydict({"pattern": list(counts), "n": list(counts.values())})
@@ -163,10 +198,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def counted(flag: int, wanted: set[str] | None) -> DataFrame:
             return sample.where(F.col("toxic") == flag).select("text").mapInArrow(tidy(support(wanted)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
-        pos = dict(counted(1, None).where(F.col("n") >= 3).orderBy(F.desc("n"), "pattern").limit(CANDIDATES).collect())
+        # fewer rows than that can't give the evidence a pattern needs; patterns of a bounded sample are bounded
+        least = max(3, math.ceil(EVIDENCE / math.log((toxic + clean) / toxic)))
+        pos = dict(counted(1, None).where(F.col("n") >= least).collect())
         neg = dict(counted(0, set(pos)).collect())
         lexicon = Lexicon(weights=_weights(pos, neg, toxic, clean) | {k: v for k, v in Lexicon().weights.items() if neg.get(k, 0) == 0})
 
+        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Pairs of neighbouring words one of which is in the lexicon."""
+            automaton, counts = lexicon.automaton(), Counter()
+            for batch in batches:
+                for toxic, text in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
+                    folded = fold(text.as_py())
+                    hits, _ = lexicon._hits(automaton, folded)
+                    if hits:
+                        words = folded.split()
+                        at = {folded.count(" ", 0, h) for h in hits}
+                        counts.update({(f"{words[k]} {words[k + 1]}", toxic) for i in at for k in (i - 1, i) if 0 <= k < len(words) - 1})
+            yield pa.RecordBatch.from_pydict({"phrase": pa.array([p for p, _ in counts], pa.string()), "toxic": pa.array([t for _, t in counts], pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
+
+        by = sample.mapInArrow(tidy(contexts), "phrase string, toxic long, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
+        harmless = by.where((F.col("bad") == 0) & (F.col("n") >= HARMLESS)).select("phrase").orderBy("phrase").collect()
+        lexicon.exceptions += tuple(r[0] for r in harmless)
+
         def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = lexicon.automaton()
             for batch in batches:
