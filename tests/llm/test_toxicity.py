@@ -70,7 +70,7 @@ def test_exceptions_are_learnt(spark):
     lexicon = T.learn(docs, flags)
     a = lexicon.automaton()
     assert any(p.strip().startswith("rotte") for p in lexicon.weights) and "apple rotter".replace("l", "i") in lexicon.exceptions
-    assert lexicon.match(a, "an apple rotter")[1] == 0 and lexicon.match(a, "you rotter")[1] == 1
+    assert lexicon.match(a, "an apple rotter")[1] == 0 and lexicon.match(a, "a rotter")[1] == 1
 
 
 def test_very_long_text(spark):
