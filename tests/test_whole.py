@@ -18,7 +18,7 @@ VOXELS = {
 MARKERS = {
     **{n: {" WHERE id <= 40": ""} for n in ("patch_extract", "standardize", "patch_standardized", "local_standardize", "overlap_add", "overlap_normalize")},
     "positive_sites": {" AND id <= 200": ""},
-    "cluster_radius": {"(SELECT * FROM markers_true WHERE id <= 50)": "(SELECT * FROM markers_true)"},
+    "cluster_radius": {"CROSS JOIN (SELECT * FROM markers_true WHERE id <= 50) a": "CROSS JOIN markers_true a"},
     "visible_pairs": {" WHERE id <= 100": ""},
 }
 #: More markers than any of the cuts let through.

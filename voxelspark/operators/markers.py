@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelspark.operators.spatial import AXES, distance_join
-from voxelspark.operators.tiling import margin_depth
+from voxelspark.functions.storage import cut
+from voxelspark.operators.spatial import AXES, components, distance_join
 
 SUBSTACK = r"\(([^)]*)\)$"
 
@@ -53,6 +55,91 @@ def write_markers(df: DataFrame, path: str, floating_point: bool = False) -> Non
         out.withColumnRenamed("x", "##x").write.csv(path, header=True)
 
 
+def read_apo(spark: SparkSession, path: str) -> DataFrame:
+    """A point list as it stands: every column by its header's name, spaces around dropped, coordinates as numbers."""
+    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    df = raw.toDF(*[c.strip().lstrip("#") for c in raw.columns])
+    return df.withColumns({a: F.col(a).cast("double") for a in AXES if a in df.columns})
+
+
+def read_whole_volume(spark: SparkSession, path: str) -> DataFrame:
+    """``x, y, z, name, mass, volume, radius, hue`` of a marker file of the whole volume: 1-based, cut to whole numbers; the comment lists values in this order."""
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    part = lines.select(F.split(F.trim("value"), ",").alias("p"))
+    items = F.split(F.col("p")[6], "\t")
+    value = lambda k: F.element_at(F.split(F.get(items, F.lit(k)), "="), 2).cast("double")
+    at = [(F.col("p")[k].cast("double").cast("int") - 1).alias(a) for k, a in enumerate(AXES)]
+    return part.select(*at, F.col("p")[5].alias("name"), *[value(k).alias(n) for k, n in enumerate(("mass", "volume", "radius", "hue"))])
+
+
+def load(spark: SparkSession, path: str, from_annotator: bool = False, size: tuple[int, int, int] | None = None) -> DataFrame:
+    """Markers by the file's ending, 0-based; with ``size`` a marker outside the volume raises when it is met."""
+    if path.endswith(".marker"):
+        df = read_markers(spark, path, from_annotator).withColumns({a: F.col(a) - 1 for a in AXES})
+    elif path.endswith(".apo"):
+        df = read_apo(spark, path)
+    else:
+        raise ValueError(f"neither a .marker nor an .apo file: {path}")
+    if size is None:
+        return df
+    for a, w in zip(AXES, size, strict=True):
+        wrong = F.raise_error(F.concat(F.lit(f"marker outside the volume: {a} = "), F.col(a).cast("string"))).cast("double")
+        df = df.withColumn(a, F.when(F.col(a).between(0, w - 1), F.col(a)).otherwise(wrong))
+    return df
+
+
+def within_volume(df: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Markers at 0 to width - 1 on every axis."""
+    for a, w in zip(AXES, size, strict=True):
+        df = df.where(F.col(a).between(0, w - 1))
+    return df
+
+
+def without_landmarks(df: DataFrame, name: str = "name") -> DataFrame:
+    """Markers that no annotator's default name marks as a landmark; nameless ones stay."""
+    return df.where(~F.coalesce(F.col(name).contains("(landmark"), F.lit(False)))
+
+
+def reject_far(df: DataFrame, bound: float | None) -> DataFrame:
+    """With ``rejected``: whether a marker's distance from its manifold reaches the bound (without a bound none is; without a distance a bound raises)."""
+    if bound is None:
+        return df.withColumn("rejected", F.lit(False))
+    if "distance" not in df.columns:
+        raise ValueError("the markers have no column of distances")
+    return df.withColumn("rejected", F.coalesce(F.col("distance") >= bound, F.lit(False)))
+
+
+def merge_in_order(markers: DataFrame, radius: float) -> DataFrame:
+    """Markers of overlapping tiles merged tile by tile in the order of their names.
+
+    A marker looks at the nearest of those that the tiles before its own left (ties: the smaller name); closer than
+    ``radius`` the one less deep inside its tile goes, on a tie the earlier one. Only markers of different tiles closer
+    than that ever meet, so each connected part of that graph is merged by itself.
+    """
+    columns = markers.select(F.xxhash64("tile_id", "id").alias("key"), "id", "tile_id", *AXES, "depth")
+    pairs = distance_join(columns, columns, radius).where("a_tile_id <> b_tile_id").select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
+    pairs = cut(pairs)
+    met = pairs.select(F.col("u").alias("id")).distinct()
+    parts = components(met, pairs).select(F.col("id").alias("key"), "component")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tile_id", "id"]).reset_index(drop=True)
+        at, depth, alive = pdf[list(AXES)].to_numpy(float), pdf["depth"].to_numpy(float), np.zeros(len(pdf), bool)
+        for _, rows in pdf.groupby("tile_id", sort=True):
+            before = np.flatnonzero(alive)
+            for k in rows.index:
+                alive[k] = True
+                if len(before):
+                    d = np.sqrt(((at[before] - at[k]) ** 2).sum(axis=1))
+                    n = before[d.argmin()]
+                    if d.min() < radius:
+                        alive[k if depth[k] < depth[n] else n] = False
+        return pdf.loc[~alive, ["key"]]
+
+    gone = columns.join(parts, "key").groupBy("component").applyInPandas(fold, "key long")
+    return markers.withColumn("_key", F.xxhash64("tile_id", "id")).join(gone, F.col("_key") == F.col("key"), "left_anti").drop("_key")
+
+
 def merge_tiles(markers: DataFrame, radius: float) -> DataFrame:
     """Markers of overlapping tiles without near duplicates.
 
@@ -117,9 +204,7 @@ def merge_views(found: dict[tuple[str, str], DataFrame], view_ids: tuple[str, st
     whole = together([f for f in (first, turn(third) if third is not None and first is not None else third) if f is not None])
     if whole is None:
         return None
-    for a, w in zip(AXES, size, strict=True):
-        whole = whole.where((F.col(a) >= 0) & (F.col(a) <= w - 1))
-    return whole.select(*AXES)
+    return within_volume(whole, size).select(*AXES)
 
 
 def _renumbered(fused: DataFrame) -> DataFrame:
@@ -136,5 +221,3 @@ def best_per_name(df: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("name").orderBy("distance", "id"))
     return df.withColumn("_n", first).where("_n = 1").drop("_n")
 
-
-__all__ = ["read_markers", "write_markers", "merge_tiles", "with_depth", "fuse", "visible_pairs", "substack_of", "best_per_name", "format_markers", "parse_comments", "margin_depth"]

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.operators import dense
 from voxelspark.operators.spatial import AXES, components, distance_join, knn_join
 
 
@@ -17,45 +18,26 @@ def mean_shift_step(seeds: DataFrame, points: DataFrame, radius: float) -> DataF
     return seeds.join(moved, seeds["id"] == moved["a_id"], "left").select("id", *[F.coalesce(f"m{a}", a).alias(a) for a in AXES])
 
 
-def _climb(points: np.ndarray, weight: np.ndarray, seeds: np.ndarray, radius: float, rounds: int) -> np.ndarray:
-    """Mean shift of all seeds at once over a cell list of the points."""
-    cells: dict[tuple, list[int]] = {}
-    for k, c in enumerate(map(tuple, np.floor(points / radius).astype(int))):
-        cells.setdefault(c, []).append(k)
-    held = {c: np.array(v) for c, v in cells.items()}
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    out = seeds.astype(float).copy()
-    for n in range(len(out)):
-        for _ in range(rounds):
-            home = np.floor(out[n] / radius).astype(int)
-            near = [held[k] for s in steps if (k := tuple(home + s)) in held]
-            if not near:
-                break
-            near = np.concatenate(near)
-            inside = near[((points[near] - out[n]) ** 2).sum(axis=1) <= radius * radius]
-            if not len(inside) or not weight[inside].sum():
-                break
-            new = (points[inside] * weight[inside, None]).sum(axis=0) / weight[inside].sum()
-            moved = np.sqrt(((new - out[n]) ** 2).sum())
-            out[n] = new
-            if moved < 1e-3 * radius:
-                break
-    return out
-
-
 def mean_shift(seeds: DataFrame, points: DataFrame, radius: float, group: str = "tile_id", rounds: int = 300) -> DataFrame:
-    """``group, id, x, y, z``: where each seed of a tile comes to rest (a step under a thousandth of the radius, or ``rounds``)."""
+    """``group, id, x, y, z, volume, mass``: where each seed of a tile comes to rest, with the points and weight of its last ball.
+
+    A seed without points in reach is dropped. A tile is one task: its size bounds the task, not the volume's.
+    """
 
     def run(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("id")
-        rest = _climb(p[list(AXES)].to_numpy(float), p["weight"].to_numpy(float), s[list(AXES)].to_numpy(float), radius, rounds)
-        return pd.DataFrame({group: s[group], "id": s["id"], **{a: rest[:, k] for k, a in enumerate(AXES)}})
+        cells, weight = dense.Cells(p[list(AXES)].to_numpy(float), radius), p["weight"].to_numpy(float)
+        ends = [dense.climb(cells, weight, x, rounds) for x in s[list(AXES)].to_numpy(float)]
+        held = [k for k, e in enumerate(ends) if e is not None]
+        at = np.array([ends[k][0] for k in held]).reshape(-1, 3)
+        rows = s.iloc[held]
+        return pd.DataFrame({group: rows[group].to_numpy(), "id": rows["id"].to_numpy(), **{a: at[:, k] for k, a in enumerate(AXES)}, "volume": [ends[k][1] for k in held], "mass": [ends[k][2] for k in held]})
 
     kind = seeds.schema[group].dataType.simpleString()
     # new names and back: both sides may come from one table
     fresh = lambda df, *c: df.select(*[F.col(x).alias(f"_{x}") for x in c]).toDF(*c)
     a, b = fresh(seeds, group, "id", *AXES).groupBy(group), fresh(points, group, *AXES, "weight").groupBy(group)
-    return a.cogroup(b).applyInPandas(run, f"`{group}` {kind}, id long, x double, y double, z double")
+    return a.cogroup(b).applyInPandas(run, f"`{group}` {kind}, id long, x double, y double, z double, volume long, mass double")
 
 
 def moments(pairs: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -110,6 +92,37 @@ def rigid(points: DataFrame, r: np.ndarray, t: np.ndarray, inverse: bool = False
     return points.withColumns(new)
 
 
+Motion = tuple[np.ndarray, np.ndarray]
+
+
+def compose(*motions: Motion) -> Motion:
+    """One motion for several, the first one done first."""
+    r, t = np.eye(3), np.zeros(3)
+    for dr, dt in motions:
+        r, t = dr @ r, dr @ t + dt
+    return r, t
+
+
+def inverse(motion: Motion) -> Motion:
+    back = np.linalg.inv(motion[0])
+    return back, -back @ motion[1]
+
+
+def angles(r: np.ndarray) -> np.ndarray:
+    """Angles about x, y and z of a rotation that turns about z, x, y in that order from the right."""
+    x = np.arcsin(np.clip(r[2, 1], -1, 1))
+    if abs(np.cos(x)) > 5e-5:
+        return np.array([x, np.arctan2(-r[2, 0], r[2, 2]), np.arctan2(-r[0, 1], r[1, 1])])
+    return np.array([x, np.arctan2(r[1, 0], r[0, 0]), 0.0])
+
+
+def motion_line(name: str, motion: Motion) -> str:
+    """A transform file's line: name, rotation by rows, shift, summed absolute angles, length of the shift."""
+    r, t = motion
+    rows = " , ".join(" ".join(f"{v:.10g}" for v in row) for row in [*r, t])
+    return f"{name} , {rows} , {np.abs(angles(r)).sum():.10g} , {np.sqrt((t * t).sum()):.10g}"
+
+
 def fit_rigid(pairs: DataFrame, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
     return horn(moments(pairs, weight).first().asDict())
 
@@ -224,30 +237,39 @@ def isomap(x: np.ndarray, k: int) -> np.ndarray:
     return vectors[:, -2:] * np.sqrt(np.maximum(values[-2:], 0))
 
 
-def lowess(plane: np.ndarray, x: np.ndarray, sigma: float, rounds: int = 5, least: float = 1e-4) -> np.ndarray:
-    """Robust local regression of the points on their plane coordinates.
+def _local_fit(plane: np.ndarray, x: np.ndarray, at: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray | None:
+    """Value at ``at``: points with some weight are centred by it, the slope is a plain least-squares fit of them."""
+    some = np.flatnonzero(weight > least)
+    if not len(some):
+        return None
+    share = weight[some] / weight[some].sum()
+    mp, mx = share @ plane[some], share @ x[some]
+    return mx + (at - mp) @ np.linalg.lstsq(plane[some] - mp, x[some] - mx, rcond=None)[0]
+
+
+def lowess(plane: np.ndarray, x: np.ndarray, sigma: float, rounds: int = 5, least: float = 1e-4, new: np.ndarray | None = None) -> np.ndarray:
+    """Robust local regression of the points on their plane coordinates, or its values at the places ``new``.
 
-    Kernel weights choose the points and centre them; the slope is an unweighted least-squares fit of the chosen ones;
-    residuals give bisquare weights that multiply the kernel of the next round.
+    Kernel weights choose the points and centre them; residuals give bisquare weights that multiply the kernel of the
+    next round. A place without any point of some weight keeps its own value; a new one raises.
     """
-    d2 = ((plane[:, None] - plane[None]) ** 2).sum(axis=2)
-    w = np.exp(-d2 / sigma**2)
+    w = np.exp(-((plane[:, None] - plane[None]) ** 2).sum(axis=2) / sigma**2)
     np.fill_diagonal(w, 0.0)
-    fit = x.copy()
+    fit, trust = x.copy(), np.ones(len(x))
     for _ in range(rounds):
         for i in range(len(x)):
-            some = np.flatnonzero(w[i] > least)
-            if not len(some):
-                continue
-            share = w[i, some] / w[i, some].sum()
-            mp, mx = share @ plane[some], share @ x[some]
-            slope = np.linalg.lstsq(plane[some] - mp, x[some] - mx, rcond=None)[0]
-            fit[i] = mx + (plane[i] - mp) @ slope
+            if (value := _local_fit(plane, x, plane[i], w[i] * trust, least)) is not None:
+                fit[i] = value
         residual = np.sqrt(((fit - x) ** 2).sum(axis=1))
         s = np.median(residual)
         u = np.clip(residual / (6 * s) if s > 0 else np.zeros(len(x)), 0, 1)
-        w = w * ((1 - u * u) ** 2)[None, :]
-    return fit
+        before, trust = trust, trust * (1 - u * u) ** 2
+    if new is None:
+        return fit
+    out = [_local_fit(plane, x, p, np.exp(-((p - plane) ** 2).sum(axis=1) / sigma**2) * before, least) for p in new]
+    if any(v is None for v in out):
+        raise ValueError("no points have weight at some of the new places")
+    return np.array(out).reshape(len(new), x.shape[1])
 
 
 def manifold_distances(patches: DataFrame, points: DataFrame, sigma: float, k: int = 6) -> DataFrame:

@@ -80,10 +80,20 @@ def pairwise_nearest(points: DataFrame, limit: int, radius: float) -> DataFrame:
         radius *= 2
 
 
-def box_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points with every box (a row a tile, so a small table) that holds them, ends included."""
+def box_join(points: DataFrame, boxes: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Points with every box that holds them, ends included.
+
+    Boxes are listed under the grid cells they touch and points looked up in their own cell, so no point meets a box far
+    away. ``cell`` should be about as wide as a box.
+    """
+    at = lambda c: F.floor(c / cell).cast("long")
+    listed = boxes
+    for c in AXES:
+        listed = listed.withColumn(f"_b{c}", F.explode(F.sequence(at(F.col(f"{c}0")), at(F.col(f"{c}1") - 1))))
+    placed = points.withColumns({f"_p{c}": at(F.col(c)) for c in AXES})
+    same = reduce(lambda x, y: x & y, [F.col(f"_p{c}") == F.col(f"_b{c}") for c in AXES])
     test = reduce(lambda x, y: x & y, [F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1") - 1) for c in AXES])
-    return points.join(F.broadcast(boxes), test)
+    return placed.join(listed, same & test).drop(*[f"_{k}{c}" for k in "pb" for c in AXES])
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

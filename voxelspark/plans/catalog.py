@@ -1,4 +1,4 @@
-"""All queries over the reference's operators with their SQL, by name.
+"""All queries over volumes, markers and patches with their SQL, by name.
 
 A query wires derived views (``fixtures``) to operators; its SQL says the same thing the plain way.
 """
@@ -218,7 +218,7 @@ def rgb_zip(spark, d):
 
 # ---- neighbourhoods
 
-_CORNER = "c AS (SELECT x, y, z, intensity FROM voxels WHERE x < 16 AND y < 16 AND z < 16)"
+_CELLS = "c AS (SELECT x, y, z, intensity FROM voxels)"
 _OFF = "(SELECT CAST(range AS INT) AS {0} FROM range(-{1}, {1} + 1))"
 
 
@@ -227,7 +227,7 @@ def _cube_sql(n: int) -> str:
 
 
 @query(
-    f"""WITH {_CORNER}, k AS (SELECT * FROM {_cube_sql(2)} WHERE dx*dx+dy*dy+dz*dz <= 4)
+    f"""WITH {_CELLS}, k AS (SELECT * FROM {_cube_sql(2)} WHERE dx*dx+dy*dy+dz*dz <= 4)
     SELECT c.x, c.y, c.z, c.intensity, round(sum(n.intensity), 6) AS local_mass FROM c CROSS JOIN k JOIN c n ON n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz GROUP BY ALL""",
     ("voxels",),
 )
@@ -236,7 +236,7 @@ def ball_convolution(spark, d):
 
 
 @query(
-    f"""WITH {_CORNER}, k AS (SELECT *, exp(-(dx*dx+dy*dy+dz*dz) / 2.0) AS w FROM {_cube_sql(2)} WHERE dx*dx+dy*dy+dz*dz <= 4)
+    f"""WITH {_CELLS}, k AS (SELECT *, exp(-(dx*dx+dy*dy+dz*dz) / 2.0) AS w FROM {_cube_sql(2)} WHERE dx*dx+dy*dy+dz*dz <= 4)
     SELECT c.x, c.y, c.z, c.intensity, round(sum(n.intensity * w), 6) AS local_mass FROM c CROSS JOIN k JOIN c n ON n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz GROUP BY ALL""",
     ("voxels",),
 )
@@ -250,13 +250,13 @@ r AS (SELECT DISTINCT u, u AS v FROM e WHERE bv > av UNION SELECT e.v, r.v FROM
 """
 
 
-@query(f"WITH RECURSIVE {_CORNER}, {_FLAT} SELECT x, y, z, intensity FROM c WHERE x*1000000007::BIGINT+y*100003+z NOT IN (SELECT u FROM r)".replace("SELECT DISTINCT u, u AS v FROM e", "SELECT DISTINCT u, 0 AS v FROM e").replace("SELECT e.v, r.v FROM r", "SELECT e.v, 0 FROM r"), ("voxels",))
+@query(f"WITH RECURSIVE {_CELLS}, {_FLAT} SELECT x, y, z, intensity FROM c WHERE x*1000000007::BIGINT+y*100003+z NOT IN (SELECT u FROM r)".replace("SELECT DISTINCT u, u AS v FROM e", "SELECT DISTINCT u, 0 AS v FROM e").replace("SELECT e.v, r.v FROM r", "SELECT e.v, 0 FROM r"), ("voxels",))
 def regional_maxima(spark, d):
     return kernels.regional_maxima(_voxels(spark, d), spatial.components)
 
 
 @query(
-    f"""WITH {_CORNER}, s AS (SELECT c.x, c.y, c.z, n.intensity AS v, count(*) AS k FROM c CROSS JOIN ({"SELECT * FROM " + _cube_sql(1)}) o JOIN c n ON n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz WHERE n.intensity <> 0 GROUP BY ALL),
+    f"""WITH {_CELLS}, s AS (SELECT c.x, c.y, c.z, n.intensity AS v, count(*) AS k FROM c CROSS JOIN ({"SELECT * FROM " + _cube_sql(1)}) o JOIN c n ON n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz WHERE n.intensity <> 0 GROUP BY ALL),
     h AS (SELECT x, y, z, sum(-(k / 27.0) * ln(k / 27.0)) AS h, sum(k) AS k FROM s GROUP BY x, y, z)
     SELECT c.x, c.y, c.z, c.intensity, round(coalesce(h, 0.0) + CASE WHEN coalesce(k, 0) < 27 THEN -((27.0 - coalesce(k, 0)) / 27.0) * ln((27.0 - coalesce(k, 0)) / 27.0) ELSE 0.0 END, 6) AS entropy FROM c LEFT JOIN h USING (x, y, z)""",
     ("voxels",),
@@ -266,7 +266,7 @@ def local_entropy(spark, d):
 
 
 @query(
-    f"""WITH {_CORNER}, cb AS (SELECT x, y, z, intensity FROM volume_b WHERE x < 16 AND y < 16 AND z < 16), """
+    f"""WITH {_CELLS}, cb AS (SELECT x, y, z, intensity FROM volume_b), """
     + ", ".join(
         f"""s{t} AS (SELECT c.x, c.y, c.z, n.intensity AS v, count(*) AS k FROM {t} c CROSS JOIN (SELECT * FROM {_cube_sql(1)}) o JOIN {t} n ON n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz WHERE n.intensity <> 0 GROUP BY ALL),
     h{t} AS (SELECT x, y, z, sum(-(k / 27.0) * ln(k / 27.0)) AS h, sum(k) AS k FROM s{t} GROUP BY x, y, z),
@@ -280,7 +280,7 @@ def content_fusion(spark, d):
     return kernels.content_fusion(kernels.local_entropy(_voxels(spark, d), 1), kernels.local_entropy(view(spark, d, "volume_b"), 1))
 
 
-_CENTRES = "SELECT id, CAST(2 + id % 12 AS INT) AS x, CAST(2 + (id * 7) % 12 AS INT) AS y, CAST(2 + (id * 5) % 12 AS INT) AS z FROM markers_true WHERE id <= 40"
+_CENTRES = "SELECT id, CAST(2 + id % 12 AS INT) AS x, CAST(2 + (id * 7) % 12 AS INT) AS y, CAST(2 + (id * 5) % 12 AS INT) AS z FROM markers_true"
 
 
 def _centres(spark, d):
@@ -358,7 +358,7 @@ def gaussian_target(spark, d):
 
 @query(
     """SELECT DISTINCT CAST(x AS INT) + dx AS x, CAST(y AS INT) + dy AS y, CAST(z AS INT) + dz AS z FROM markers_true CROSS JOIN (SELECT CAST(range AS INT) AS dx FROM range(-12, 13, 3))
-    CROSS JOIN (SELECT CAST(range AS INT) AS dy FROM range(-12, 13, 3)) CROSS JOIN (SELECT CAST(range AS INT) AS dz FROM range(-12, 13, 3)) WHERE least(x - 40, 469 - x, y - 40, 463 - y, z - 40, 211 - z) > 0 AND id <= 200""",
+    CROSS JOIN (SELECT CAST(range AS INT) AS dy FROM range(-12, 13, 3)) CROSS JOIN (SELECT CAST(range AS INT) AS dz FROM range(-12, 13, 3)) WHERE least(x - 40, 469 - x, y - 40, 463 - y, z - 40, 211 - z) > 0""",
     ("markers_true",),
 )
 def positive_sites(spark, d):
@@ -370,7 +370,7 @@ def positive_sites(spark, d):
 
 
 @query(
-    "SELECT v.x, v.y, v.z FROM voxels v WHERE v.x < 16 AND v.y < 16 AND v.z < 16 AND NOT EXISTS (SELECT 1 FROM markers_true m WHERE (m.x-v.x)*(m.x-v.x)+(m.y-v.y)*(m.y-v.y)+(m.z-v.z)*(m.z-v.z) < 900)",
+    "SELECT v.x, v.y, v.z FROM voxels v WHERE NOT EXISTS (SELECT 1 FROM markers_true m WHERE (m.x-v.x)*(m.x-v.x)+(m.y-v.y)*(m.y-v.y)+(m.z-v.z)*(m.z-v.z) < 900)",
     ("voxels", "markers_true"),
 )
 def negative_sites(spark, d):
@@ -382,7 +382,7 @@ def negative_sites(spark, d):
 
 @query(
     """SELECT x, y, z, CASE WHEN EXISTS (SELECT 1 FROM markers_true m WHERE m.x >= v.x - 7 AND m.x < v.x + 8 AND m.y >= v.y - 7 AND m.y < v.y + 8 AND m.z >= v.z - 7 AND m.z < v.z + 8) THEN 1 ELSE 0 END AS label
-    FROM voxels v WHERE x < 16 AND y < 16 AND z < 16""",
+    FROM voxels v""",
     ("voxels", "markers_true"),
 )
 def patch_labels(spark, d):
@@ -397,8 +397,8 @@ def patch_labels(spark, d):
 
 
 @query(
-    """WITH g AS (SELECT a.x, b.y, c.z, CAST(round_even(b.y - 2.0, 0) AS INT) AS sx, CAST(round_even(14.0 - a.x, 0) AS INT) AS sy, c.z - 1 AS sz FROM (SELECT CAST(range AS INT) AS x FROM range(16)) a
-    CROSS JOIN (SELECT CAST(range AS INT) AS y FROM range(16)) b CROSS JOIN (SELECT CAST(range AS INT) AS z FROM range(16)) c)
+    """WITH g AS (SELECT a.x, b.y, c.z, CAST(round_even(b.y - 2.0, 0) AS INT) AS sx, CAST(round_even(14.0 - a.x, 0) AS INT) AS sy, c.z - 1 AS sz FROM (SELECT CAST(range AS INT) AS x FROM range(64)) a
+    CROSS JOIN (SELECT CAST(range AS INT) AS y FROM range(64)) b CROSS JOIN (SELECT CAST(range AS INT) AS z FROM range(32)) c)
     SELECT g.x, g.y, g.z, CASE WHEN sx > 0 AND sx < 63 AND sy > 0 AND sy < 63 AND sz > 0 AND sz < 31 THEN coalesce(v.intensity, 0) ELSE 0 END AS intensity FROM g LEFT JOIN voxels v ON v.x = sx AND v.y = sy AND v.z = sz""",
     ("voxels",),
 )
@@ -563,7 +563,7 @@ def mass_zscore(spark, d):
     return m.crossJoin(F.broadcast(s)).select("id", F.round((F.col("mass") - F.col("m")) / F.col("s"), 6).alias("z"))
 
 
-@query(f"WITH n AS (SELECT b.id, a.id AS c, b.x, b.y, b.z, row_number() OVER (PARTITION BY b.id ORDER BY {D}, a.id) AS r FROM markers_pred b CROSS JOIN (SELECT * FROM markers_true WHERE id <= 50) a) SELECT c AS id, CAST(count(*) AS BIGINT) AS volume, round(sqrt((var_pop(x) + var_pop(y) + var_pop(z)) / 3), 6) AS radius FROM n WHERE r = 1 GROUP BY c", ("markers_true", "markers_pred"))
+@query(f"WITH n AS (SELECT b.id, a.id AS c, b.x, b.y, b.z, row_number() OVER (PARTITION BY b.id ORDER BY {D}, a.id) AS r FROM markers_pred b CROSS JOIN markers_true a) SELECT c AS id, CAST(count(*) AS BIGINT) AS volume, round(sqrt((var_pop(x) + var_pop(y) + var_pop(z)) / 3), 6) AS radius FROM n WHERE r = 1 GROUP BY c", ("markers_true", "markers_pred"))
 def cluster_radius(spark, d):
     p = _pred(spark, d)
     own = spatial.knn_join(p, _true(spark, d), 1, 64.0).select(F.col("a_id").alias("id"), F.col("b_id").alias("c"))
@@ -747,7 +747,7 @@ def _pair_sql(a: int, b: int) -> str:
 
 
 @query(
-    f"""WITH s AS (SELECT id, {", ".join(f"(id * 7 + {k} * 13) % 60 >= 30 AS s{k}" for k in range(4))} FROM markers_true WHERE id <= 100), t AS (SELECT *, CAST(s0 AS INT) + CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) AS n FROM s)
+    f"""WITH s AS (SELECT id, {", ".join(f"(id * 7 + {k} * 13) % 60 >= 30 AS s{k}" for k in range(4))} FROM markers_true), t AS (SELECT *, CAST(s0 AS INT) + CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) AS n FROM s)
     SELECT CAST(id AS VARCHAR) AS tile_id, n AS n_seen, concat_ws(',', {", ".join(_pair_sql(a, b) for a in (0, 2) for b in (1, 3))}) AS pairs FROM t""",
     ("markers_true",),
 )
