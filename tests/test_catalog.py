@@ -10,5 +10,5 @@ def test_query(spark, small, name):
     if name in catalog.ORACLE:
         same(got, sql(catalog.ORACLE[name], small))
     else:
-        # the smallest volume is nearly empty: no sum in it reaches the seed threshold
-        assert len(got) > 0 or name == "find_cells"
+        # the smallest volume is nearly empty: no sum in it reaches the seed threshold (tests/test_detect.py has others)
+        assert len(got) > 0 or name in ("find_cells", "find_cells_local", "seeds")

@@ -70,6 +70,25 @@ def local_entropy(voxels: DataFrame, size: int, base: float | None = None) -> Da
     return voxels.join(by, list(AXES)).select(*AXES, "intensity", (whole / math.log(base) if base else whole).alias("entropy"))
 
 
+def density_entropy(voxels: DataFrame, size: int, bins: int, stride: int = 1, start: int = 0) -> DataFrame:
+    """``x, y, z, entropy`` at voxels every ``stride`` from ``start`` on each axis: base two, of the density of the values 0 to 255 around in ``bins`` bins.
+
+    A density is a share divided by the width of a bin; absent voxels are 0.
+    """
+    cells, width = (2 * size + 1) ** 3, 256 / bins
+    kept = voxels.select(*AXES, F.floor(F.col("intensity") * bins / 256).cast("int").alias("bin"))
+    near = shifted(kept, cube(size))
+    on = voxels.select(*AXES)
+    for a in AXES:
+        near, on = near.where(F.pmod(F.col(a), F.lit(stride)) == start), on.where(F.pmod(F.col(a), F.lit(stride)) == start)
+    n = near.join(on, list(AXES)).groupBy(*AXES, "bin").agg(F.count(F.lit(1)).alias("n"))
+    by = n.groupBy(*AXES).agg(F.collect_list(F.struct("bin", "n")).alias("b"))
+    above = F.aggregate(F.filter("b", lambda s: s["bin"] > 0), F.lit(0).cast("long"), lambda t, s: t + s["n"])
+    term = lambda k: F.when(k > 0, -k / cells / width * F.log2(k / cells / width)).otherwise(0.0)
+    whole = F.aggregate(F.filter("b", lambda s: s["bin"] > 0), F.lit(0.0), lambda t, s: t + term(s["n"])) + term(F.lit(cells) - above)
+    return by.select(*AXES, whole.alias("entropy"))
+
+
 def content_fusion(first: DataFrame, second: DataFrame) -> DataFrame:
     """Mean of two aligned volumes weighted by 100**entropy, rounded half to even."""
     a = first.select(*AXES, F.col("intensity").alias("va"), F.pow(F.lit(100.0), F.col("entropy")).alias("wa"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.operators import kernels
@@ -35,6 +35,30 @@ def predict(patches: DataFrame, predictor: Predictor, mean: np.ndarray | None =
     return patches.select("id", "patch").mapInPandas(run, "id long, patch array<double>")
 
 
+def local_standardizer(patches: DataFrame, stored: tuple[np.ndarray, np.ndarray], bright: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each position over the patches whose mean is above ``bright`` (of 255, values 0 to 1).
+
+    With fewer such patches than all of them divided by a patch's length the stored figures hold.
+    """
+    mean = F.aggregate("patch", F.lit(0.0), lambda a, v: a + v) / F.size("patch")
+    marked = patches.select("patch", (mean * 255 > bright).alias("good"))
+    n, good, length = marked.agg(F.count(F.lit(1)), F.count_if("good"), F.max(F.size("patch"))).first()
+    if not n or good < n / length:
+        return stored
+    rows = marked.where("good").select(F.posexplode("patch").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("pos").collect()
+    return np.array([r.m for r in rows]), np.array([r.s for r in rows])
+
+
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def label_counts(examples: DataFrame) -> DataFrame:
+    """``positives, negatives, rejected, ratio`` of examples with ``label`` (1 or 0) and ``rejected``; without negatives no ratio."""
+    p, n = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    return examples.agg(p.alias("positives"), n.alias("negatives"), F.count_if("rejected").alias("rejected"), F.round(F.try_divide(p, n), 6).alias("ratio"))
+
+
 def site_grid(box: dict[str, tuple[int, int]], stride: int, spark) -> DataFrame:
     """``id, x, y, z``: patch centres every ``stride`` voxels."""
     out = None

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelspark.functions.numbering import numbered as by_order
 from voxelspark.functions.storage import cut
 from voxelspark.operators.spatial import AXES, components, distance_join
 
@@ -221,3 +222,16 @@ def best_per_name(df: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("name").orderBy("distance", "id"))
     return df.withColumn("_n", first).where("_n = 1").drop("_n")
 
+
+
+def numbered(df: DataFrame, tiles: DataFrame, label: str = "MS_center", turn: float = 0.31) -> DataFrame:
+    """``df`` with ``name`` (label and number of the marker within its tile, by id) and ``hue``, which turns by ``turn`` from tile to tile."""
+    # a row a tile
+    hues = tiles.select("tile_id", ((F.row_number().over(Window.orderBy("tile_id")) - 1) * turn % 1.0).alias("hue"))
+    n = F.row_number().over(Window.partitionBy("tile_id").orderBy("id")) - 1
+    return df.withColumn("name", F.concat(F.lit(f"{label} "), n.cast("string"))).join(F.broadcast(hues), "tile_id")
+
+
+def dealt(seeds: DataFrame, jobs: int) -> DataFrame:
+    """``seeds`` with ``job``: dealt in turn, the largest id first."""
+    return by_order(seeds, F.col("id").desc(), name="job").withColumn("job", (F.col("job") % jobs).cast("int"))

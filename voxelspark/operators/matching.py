@@ -142,3 +142,54 @@ def suppress(points: DataFrame, radius: float, heaviest_first: bool = True, grou
         live = cut(rest)
     chosen = alone if kept is None else alone.unionByName(kept)
     return points.join(chosen, "id", "left_semi")
+
+
+#: Hues that neighbours are told apart by, and edges from which on hues are left to chance.
+HUES, MANY_EDGES = (0, 25, 40, 60, 80, 100, 140, 160, 180, 200, 220, 240, 260, 280, 300, 330), 1000
+#: Steps back after which a colouring is given up.
+PATIENCE = 10_000
+
+
+def hues(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
+    """``id, color``: a colour a node, ends of an edge different; from ``MANY_EDGES`` edges on a seeded one of 256 for each node.
+
+    The graph that is solved has fewer edges than that, so it fits a task: the node with most colours round it
+    is coloured first, and a colouring that gets stuck goes back.
+    """
+    chance = nodes.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(256)).cast("int").alias("color"))
+    pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct().limit(MANY_EDGES).collect()
+    if len(pairs) >= MANY_EDGES:
+        return chance
+    near: dict[int, set[int]] = {}
+    for u, v in pairs:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    color = _colored(near)
+    if color is None:
+        raise ValueError("no colouring found with these hues")
+    solved = nodes.sparkSession.createDataFrame(sorted(color.items()) or [], "id long, solved int")
+    # nodes without an edge may have any
+    return chance.join(F.broadcast(solved), "id", "left").select("id", F.coalesce("solved", "color").alias("color"))
+
+
+def _colored(near: dict[int, set[int]]) -> dict[int, int] | None:
+    color: dict[int, int] = {}
+    around: dict[int, set[int]] = {n: set() for n in near}
+    trail: list[tuple[int, list[int]]] = []
+    back = 0
+    while len(color) < len(near):
+        n = max((x for x in near if x not in color), key=lambda x: (len(around[x]), len(near[x]), -x))
+        trail.append((n, [c for c in HUES if c not in around[n]]))
+        while trail and not trail[-1][1]:
+            trail.pop()
+            back += 1
+            if trail and back < PATIENCE:
+                del color[trail[-1][0]]
+                around = {x: {color[y] for y in near[x] if y in color} for x in near}
+        if not trail or back >= PATIENCE:
+            return None
+        n, left = trail[-1]
+        color[n] = left.pop(0)
+        for x in near[n]:
+            around[x].add(color[n])
+    return color

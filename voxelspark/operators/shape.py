@@ -272,6 +272,29 @@ def lowess(plane: np.ndarray, x: np.ndarray, sigma: float, rounds: int = 5, leas
     return np.array(out).reshape(len(new), x.shape[1])
 
 
+def local_plane(points: DataFrame, sigma: float, least: float = 1e-4) -> DataFrame:
+    """``id, n, z``: one pass of local regression of z over x and y at every point, by moments; others of weight above ``least`` take part.
+
+    Weights choose and centre the others, the slope is their plain least-squares fit. Points with fewer than three others,
+    or with all of them on a line, have no row.
+    """
+    reach = sigma * float(np.sqrt(-np.log(least)))
+    rows = points.select("id", *AXES)
+    near = distance_join(rows, rows, reach, axes=("x", "y")).where("a_id <> b_id").withColumn("w", F.exp(-F.col("d") * F.col("d") / (sigma * sigma))).where(F.col("w") > least)
+    # about the point itself, so that sums of squares keep their digits
+    for a in AXES:
+        near = near.withColumn(f"d{a}", F.col(f"b_{a}") - F.col(f"a_{a}"))
+    plain = [F.sum(F.col(f"d{a}")).alias(f"s{a}") for a in AXES] + [F.sum(F.col(f"d{a}") * F.col(f"d{b}")).alias(f"s{a}{b}") for a, b in (("x", "x"), ("x", "y"), ("y", "y"), ("x", "z"), ("y", "z"))]
+    means = [(F.sum(F.col("w") * F.col(f"d{a}")) / F.sum("w")).alias(f"m{a}") for a in AXES]
+    m = near.groupBy("a_id", "a_z").agg(F.count(F.lit(1)).alias("n"), *plain, *means)
+    # sums about the weighted mean
+    c = lambda a, b: F.col(f"s{a}{b}") - F.col(f"m{a}") * F.col(f"s{b}") - F.col(f"m{b}") * F.col(f"s{a}") + F.col("n") * F.col(f"m{a}") * F.col(f"m{b}")
+    m = m.select(F.col("a_id").alias("id"), "a_z", "n", "mx", "my", "mz", *[c(a, b).alias(f"{a}{b}") for a, b in (("x", "x"), ("x", "y"), ("y", "y"), ("x", "z"), ("y", "z"))])
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    slope_x, slope_y = (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det, (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det
+    return m.where((F.col("n") > 2) & (det > 1)).select("id", "n", (F.col("a_z") + F.col("mz") - F.col("mx") * slope_x - F.col("my") * slope_y).alias("z"))
+
+
 def manifold_distances(patches: DataFrame, points: DataFrame, sigma: float, k: int = 6) -> DataFrame:
     """``seed, id, distance`` of each point of a patch from the surface fitted to it; patches of one or two points are left out."""
 

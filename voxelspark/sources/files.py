@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+import io
+import json
+import pickle
+import plistlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TILE = "struct<Width:int,Height:int,Depth:int,X0:int,Y0:int,Z0:int,Files:array<string>>"
-#: Fields of tile metadata.
-INFO = f"struct<Width:int,Height:int,Depth:int,Margin:int,SubStacks:map<string,{_TILE}>>"
+#: Names of metadata files in the order in which they are looked for.
+NAMES = ("info.json", "info.plist.pkl", "info.plist")
+
+
+class _Plain(pickle.Unpickler):
+    """Reads numbers, texts, lists and dicts; a file that asks for anything else is refused."""
+
+    def find_class(self, module: str, name: str):
+        raise pickle.UnpicklingError(f"{module}.{name} in tile metadata")
+
+
+def parse_tiles(raw: bytes) -> dict:
+    """Tile metadata as JSON, else as a plain pickle, else as a property list; anything else raises."""
+    for parse in (json.loads, lambda x: _Plain(io.BytesIO(x), encoding="utf-8").load(), plistlib.loads):
+        try:
+            found = parse(raw)
+        except Exception:  # noqa: BLE001, S112 - each format fails in its own ways; the next one is tried
+            continue
+        if isinstance(found, dict) and "SubStacks" in found:
+            return found
+    raise ValueError("tile metadata is neither JSON nor a plain pickle nor a property list")
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """``tile_id, x0, y0, z0, width, height, depth, margin, files`` of a metadata file; an unreadable one raises."""
-    info = spark.read.text(path, wholetext=True).select(F.from_json("value", INFO, {"mode": "FAILFAST"}).alias("i"))
-    t = info.select("i.Margin", F.explode("i.SubStacks").alias("tile_id", "t"))
-    names = {"X0": "x0", "Y0": "y0", "Z0": "z0", "Width": "width", "Height": "height", "Depth": "depth", "Files": "files"}
-    return t.select("tile_id", *[F.col(f"t.{a}").alias(b) for a, b in names.items()], F.col("Margin").alias("margin"))
+    """``tile_id, x0, y0, z0, width, height, depth, margin, files`` of a metadata file (a row a tile); an unreadable one raises.
+
+    ``path`` is the file, or a folder that holds one of the usual names.
+    """
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = found.where(F.regexp_like("path", F.lit(rf"({'|'.join(map(re.escape, NAMES))}|[^/]*)$"))).collect()
+    by = {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in found if not r["path"].rsplit("/", 1)[-1].startswith(("_", "."))}
+    if not by:
+        raise ValueError(f"no tile metadata in {path}")
+    raw = next((by[n] for n in NAMES if n in by), None) or by[min(by)]
+    info = parse_tiles(raw)
+    rows = [(k, *[None if t.get(f) is None else int(t[f]) for f in ("X0", "Y0", "Z0", "Width", "Height", "Depth")], [str(x) for x in t["Files"]] if t.get("Files") is not None else None, int(info["Margin"]) if "Margin" in info else None) for k, t in info["SubStacks"].items()]
+    return spark.createDataFrame(rows, "tile_id string, x0 int, y0 int, z0 int, width int, height int, depth int, files array<string>, margin int")
 
 
 def write_tiles(tiles: DataFrame, whole: dict[str, int], path: str) -> None:

@@ -10,9 +10,11 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelspark.sources.sinks import write_files
+
 #: Tags of the format that matter for a plain grey image.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, ROWS, COUNTS = 256, 257, 258, 259, 262, 273, 278, 279
 _SIZES = {1: 1, 3: 2, 4: 4}
@@ -60,22 +62,61 @@ def slice_files(spark: SparkSession, folder: str, suffix: str = "tif") -> DataFr
     return files
 
 
-def read_stack(spark: SparkSession, folder: str, suffix: str = "tif") -> DataFrame:
-    """``x, y, z, intensity`` of every pixel that isn't 0; slices must be of one size."""
+def _pixels(slices: DataFrame, flip: bool = False) -> DataFrame:
+    """``x, y, z, intensity`` of every pixel of ``z, content`` that isn't 0; slices must be of one size."""
 
     def run(batches):
         for pdf in batches:
             for z, raw in zip(pdf["z"], pdf["content"], strict=True):
                 pixels = decode(bytes(raw))
+                pixels = pixels[::-1] if flip else pixels
                 y, x = np.nonzero(pixels)
                 yield pd.DataFrame({"x": x.astype("int32"), "y": y.astype("int32"), "z": np.full(len(x), z, "int32"), "intensity": pixels[y, x].astype("int32"), "width": pixels.shape[1], "height": pixels.shape[0]})
 
-    out = slice_files(spark, folder, suffix).select("z", "content").mapInPandas(run, "x int, y int, z int, intensity int, width int, height int")
+    out = slices.select("z", "content").mapInPandas(run, "x int, y int, z int, intensity int, width int, height int")
     if out.select("width", "height").distinct().count() > 1:
         raise ValueError("slices are of different sizes")
     return out.drop("width", "height")
 
 
+def read_stack(spark: SparkSession, folder: str, suffix: str = "tif", flip: bool = False) -> DataFrame:
+    """``x, y, z, intensity`` of the slices of a folder, z by their numbers; ``flip`` turns them upside down."""
+    return _pixels(slice_files(spark, folder, suffix), flip)
+
+
+def read_series(spark: SparkSession, folder: str, suffix: str = "tif") -> DataFrame:
+    """``x, y, z, intensity`` of all slices below a folder, z by the order of their names without endings (a row a file is ordered)."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", True).load(folder)
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    order = raw.select("path", (F.row_number().over(Window.orderBy(stem, "path")) - 1).alias("z"))
+    return _pixels(raw.select("path", "content").join(F.broadcast(order), "path"))
+
+
+def read_tile(spark: SparkSession, folder: str, tile_id: str, pair_id: str | None = None, listed: list[str] | None = None, flip: bool = False) -> DataFrame:
+    """``x, y, z, intensity`` of a tile's slices in the order of their names, z from 0.
+
+    They lie in folder/tile, or with ``pair_id`` in folder/tile/pair; with ``listed`` exactly the files of that list
+    (the metadata's, relative to the folder) are read, and a missing one raises.
+    """
+    if listed is None:
+        return read_series(spark, "/".join(p for p in (folder.rstrip("/"), tile_id, pair_id) if p))
+    raw = spark.read.format("binaryFile").load([f"{folder.rstrip('/')}/{f}" for f in listed])
+    names = spark.createDataFrame([(f.rsplit("/", 1)[-1], k) for k, f in enumerate(sorted(listed))], "name string, z int")
+    return _pixels(raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content").join(F.broadcast(names), "name"), flip)
+
+
+def stack_to_store(spark: SparkSession, folder: str, path: str, volume_id: str, suffix: str = "tif") -> None:
+    """A stack as Parquet voxels, by volume and sorted by z, so that scans of a slab read few row groups."""
+    voxels = read_stack(spark, folder, suffix).withColumn("volume_id", F.lit(volume_id))
+    voxels.repartitionByRange("z").sortWithinPartitions("z", "y", "x").write.mode("append").partitionBy("volume_id").parquet(path)
+
+
+def write_stack(voxels: DataFrame, folder: str, width: int, height: int, first: int = 0, prefix: str = "full_") -> None:
+    """A TIFF file for each slice that holds a voxel, numbered from ``first``."""
+    files = slices_as_bytes(voxels, width, height)
+    write_files(files.select(F.format_string(f"{prefix}%06d.tif", F.col("z") + first).alias("path"), "content"), folder)
+
+
 def slices_as_bytes(voxels: DataFrame, width: int, height: int) -> DataFrame:
     """``z, content``: each slice as a file's bytes (a slice is one image, so a task holds one at a time)."""
 
