@@ -26,7 +26,6 @@ import hashlib
 import heapq
 import math
 import re
-from array import array
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,7 +41,7 @@ from voxelspark.llm.workers import text_batches, tidy
 
 SPACE, UNKNOWN = "▁", 10.0
 #: Parts of a generation remembered by a task, and characters of them.
-MEMORY, CHARACTERS = 150_000, 4_000_000
+MEMORY, CHARACTERS = 200_000, 4_000_000
 #: Texts coded at once.
 TEXTS = 100
 #: Bounds this close count as equal: sums of the same scores in another order.
@@ -72,9 +71,12 @@ class Pieces:
         self.byte = {int(self.names[i][1:-1], 16): i for i in range(n) if p.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         self.unknown = min(p.get_score(i) for i in plain if p.get_score(i) > NEVER) - UNKNOWN
-        #: of each part met: its best score, what the second best costs, the best's ids as 32-bit numbers and in decimal, and whether they spell the part
-        self.known: dict[str, tuple[float, float, bytes, str, bool]] = {}
+        #: of each part met: its best score, what the second best costs, and the best's ids in decimal
+        self.known: dict[str, tuple[float, float, str]] = {}
         self.older, self.held = {}, 0
+        #: parts whose ids don't spell them, of those remembered
+        self.misspelt: set[str] = set()
+        self.decimal = [str(i) for i in range(n)]
         self.raw = [bytes([self.value[i]]) if i in self.value else self.names[i].encode() for i in range(n)]
         # no piece may reach across a place where the text is cut
         bare = [self.names[i].lstrip(SPACE) for i in plain]
@@ -105,47 +107,59 @@ class Pieces:
         ``n`` least of them never enters. Paths hold a link to the path they go on from; time and memory are linear in the length.
         """
         best, arcs = self.arcs(part)
-        push, pop = heapq.heappush, heapq.heappop
-        # (bound on the whole path, pieces after the position, a running number, position, score after it, link: a piece and what follows)
-        heap: list[tuple] = [(-best[-1], 0, 0, len(part), 0.0, None)]
+        push, pushpop, pop = heapq.heappush, heapq.heappushpop, heapq.heappop
+        # a path: (bound on the whole path, pieces after the position, a running number, position, score after it, link: a piece and what follows)
+        heap: list[tuple] = []
+        path = (-best[-1], 0, 0, len(part), 0.0, None)
         passed, out, serial = [0] * (len(part) + 1), [], 0
         # the least bounds of paths beside the first one
         beside, limit = [], math.inf
-        while heap and len(out) < n:
-            bound, count, _, at, after, link = pop(heap)
+        while True:
+            bound, count, _, at, after, link = path
+            # what the queue is given first comes out of it at once if nothing in it is better, mostly so
+            ahead = None
             if at == 0:
                 ids: list[int] = []
                 while link:
                     ids += link[0]
                     link = link[1]
                 out.append((after, tuple(ids)))
-                continue
-            if passed[at] == n:
-                continue
-            passed[at] += 1
-            here, first = arcs[at], True
-            for a, s, i in here:
-                total = -(best[a] + s + after)
-                if first and total <= bound + SLACK:
-                    first = False
-                elif total > limit + SLACK:
-                    continue
-                else:
-                    insort(beside, total)
-                    if len(beside) >= n:
-                        beside.pop()
-                    if len(beside) == n - 1:
-                        limit = beside[-1] if beside else bound
-                if passed[a] < n:
-                    serial += 1
-                    push(heap, (total, count + len(i), serial, a, s + after, (i, link)))
+                if len(out) == n:
+                    break
+            elif passed[at] < n:
+                passed[at] += 1
+                first = True
+                for a, s, i in arcs[at]:
+                    total = -(best[a] + s + after)
+                    if first and total <= bound + SLACK:
+                        first = False
+                    elif total > limit + SLACK:
+                        continue
+                    else:
+                        insort(beside, total)
+                        if len(beside) >= n:
+                            beside.pop()
+                        if len(beside) == n - 1:
+                            limit = beside[-1] if beside else bound
+                    if passed[a] < n:
+                        serial += 1
+                        if ahead is not None:
+                            push(heap, ahead)
+                        ahead = (total, count + len(i), serial, a, s + after, (i, link))
+            if ahead is not None:
+                path = pushpop(heap, ahead)
+            elif heap:
+                path = pop(heap)
+            else:
+                break
         return out
 
     def learn(self, cuts: list[list[str]]) -> None:
         """Search the parts of a batch of texts that aren't known yet; of two generations of known ones the older is forgotten."""
         if len(self.known) >= MEMORY or self.held >= CHARACTERS:
             self.older, self.known, self.held = self.known, {}, 0
-        known, older, raw = self.known, self.older, self.raw
+            self.misspelt &= self.older.keys()
+        known, older, raw, decimal = self.known, self.older, self.raw, self.decimal
         for part in {p for parts in cuts for p in parts if p not in known}:
             self.held += len(part)
             if part in older:
@@ -154,7 +168,9 @@ class Pieces:
             found = self.search(part, 2)
             score, ids = found[0]
             less = score - found[1][0] if len(found) > 1 else math.inf
-            known[part] = (score, less, array("i", ids).tobytes(), " ".join(map(str, ids)), b"".join([raw[i] for i in ids]) == part.encode())
+            known[part] = (score, less, " ".join([decimal[i] for i in ids]))
+            if b"".join([raw[i] for i in ids]) != part.encode():
+                self.misspelt.add(part)
 
     def marked(self, text: str) -> str:
         """The text as the lattice sees it: a space in front, spaces as marks."""
@@ -177,7 +193,7 @@ class Pieces:
     def combined(self, parts: list[str], n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best of the whole, from those of its parts."""
         known = [self.known[p] for p in parts]
-        best = [array("i", p[2]).tolist() for p in known]
+        best = [[int(i) for i in p[2].split()] for p in known]
         base = sum([p[0] for p in known])
         # the parts whose second best costs least: others can't be in the n best
         some = sorted(k for x, k in heapq.nsmallest(n - 1, zip([p[1] for p in known], range(len(known)), strict=True)) if x < math.inf)
@@ -205,9 +221,11 @@ class Pieces:
         known = self.known.__getitem__
         for parts in cuts:
             if parts:
-                scores, losses, ids, decimal, spelt = zip(*map(known, parts))
+                scores, losses, decimal = zip(*map(known, parts))
                 score, less = sum(scores), min(losses)
-                yield score, None if less == math.inf else score - less, b"".join(ids), " ".join(decimal), all(spelt)
+                joined = " ".join(decimal)
+                ids = np.fromstring(joined, np.int32, sep=" ").tobytes()
+                yield score, None if less == math.inf else score - less, ids, joined, not self.misspelt or self.misspelt.isdisjoint(parts)
             else:
                 yield 0.0, None, b"", "", True
 
@@ -236,7 +254,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 for first in range(0, len(batch), TEXTS):
                     yield coded(p, batch.slice(first, TEXTS))
         finally:  # a worker goes on to other operators
-            p.known, p.older, p.held = {}, {}, 0
+            p.known, p.older, p.held, p.misspelt = {}, {}, 0, set()
             gc.enable()
 
     def coded(p: Pieces, part: pa.RecordBatch) -> pa.RecordBatch:
