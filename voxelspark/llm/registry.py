@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import embedding_dedup, html_text, jaccard_join, line_dedup, mixing, nearest, substring_dedup
+from voxelspark.llm import embedding_dedup, fingerprints, html_text, jaccard_join, line_dedup, mixing, nearest, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op5_nearest_neighbours, op6_source_mixing, op7_token_counts, op8_html_text, op9_line_dedup, op10_ngram_jaccard)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op5_nearest_neighbours, op6_source_mixing, op7_token_counts, op8_html_text, op9_line_dedup, op10_ngram_jaccard, op11_fingerprints)}
 ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
