@@ -75,10 +75,10 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of consecutive rows: byte spans, the row of each word, and a 64-bit hash of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _IS_SEP):
         self.rows = len(offsets) - 1
         self.data = data = _LOWER[data] if lower else data
-        inside = ~_IS_SEP[data]
+        inside = ~separators[data]
         first, last = inside.copy(), inside.copy()
         if len(data):
             cut = np.zeros(len(data) + 1, bool)

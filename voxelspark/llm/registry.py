@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxelspark.llm import embedding_dedup, fingerprints, html_text, jaccard_join, line_dedup, mixing, nearest, substring_dedup
+from voxelspark.llm import collocations, embedding_dedup, fingerprints, html_text, jaccard_join, line_dedup, mixing, nearest, substring_dedup, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +68,13 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op5_nearest_neighbours, op6_source_mixing, op7_token_counts, op8_html_text, op9_line_dedup, op10_ngram_jaccard, op11_fingerprints)}
-ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op5_nearest_neighbours, op6_source_mixing, op7_token_counts, op8_html_text, op9_line_dedup, op10_ngram_jaccard, op11_fingerprints, op12_phrase_collocations, op13_embedding_whitening)}
+ORACLE: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_phrase_collocations": collocations.ORACLE}
