@@ -1,10 +1,13 @@
+import random
+import time
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from voxelspark.llm.token_counts import count_tokens, merger
+from voxelspark.llm.token_counts import LONG, Merger, count_tokens, merger
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -30,6 +33,26 @@ def test_random_texts(texts):
     assert merger(PATH).counts(texts) == expected(texts)
 
 
+@pytest.mark.parametrize("text", ["ê{}", "{}ê", "a {} b"])
+def test_every_code_point(text):
+    texts = [text.format(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert merger(PATH).counts(texts) == expected(texts)
+
+
+def test_long_words():
+    """Words that the library takes long for as well, of one letter, of few and of many, and two of them at once."""
+    r = random.Random(4)
+    words = ["".join(r.choices(letters, k=n)) for letters, n in (("a", 5001), ("ab", 4000), ("abcdefghijklmnopqrstuvwxyz", 6000), ("thé日", 3000), ("!?", 2000), ("etaoin", LONG), ("etaoin", LONG + 1))]
+    words += [" ".join(words[:2]), words[2] + "1" + words[2]]
+    assert Merger(PATH).counts(words) == expected(words)
+
+
+def test_a_million_letters_take_seconds():
+    text, began = "".join(random.Random(5).choices("etaoinshrdlu", k=1_000_000)), time.perf_counter()
+    n = Merger(PATH).counts([text])[0]
+    assert 200_000 < n < 700_000 and time.perf_counter() - began < 60
+
+
 def test_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = count_tokens(docs, PATH).toPandas().sort_values("doc_id")
