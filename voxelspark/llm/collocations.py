@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelspark.functions.numbering import numbered
 from voxelspark.llm.arrays import Words, grams, mix, pieces, text_bytes
 from voxelspark.llm.hot import join_hot
-from voxelspark.llm.storage import table
+from voxelspark.llm.storage import cut, table
 from voxelspark.llm.workers import release, text_batches, tidy
 
 #: The signs that end a piece, and the bytes that part words within one.
@@ -274,11 +275,18 @@ def subsumed(found: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def best(found: DataFrame, top: int = TOP) -> DataFrame:
-    """The first ``top`` of each language; its parts are ranked first, so no task ranks a whole language."""
+    """The first ``top`` of each language.
+
+    Parts of a language are ranked first, so no task ranks a whole one; what is left of all is numbered by ranges, and a
+    language's ranks begin where its numbers do.
+    """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
     few = found.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("part")
+    placed = cut(numbered(few.drop("part", "rank"), F.col("lang"), *order))
+    starts = placed.groupBy("lang").agg(F.min("number").alias("start"), F.count(F.lit(1)).alias("phrases"))
+    ranked = join_hot(placed, starts, ["lang"], "phrases", placed.count()).withColumn("rank", F.col("number") - F.col("start") + 1)
+    return ranked.where(F.col("rank") <= top).drop("number", "start")
 
 
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, percent: int = PERCENT) -> DataFrame:
