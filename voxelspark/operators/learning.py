@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelspark.operators import kernels
+from voxelspark.functions.numbering import numbered
+from voxelspark.functions.storage import cut
+from voxelspark.operators import blocks, kernels
+from voxelspark.operators.tiling import margin_depth
 
 AXES = ("x", "y", "z")
 #: A predictor takes and gives matrices with a row a patch.
@@ -75,27 +79,29 @@ def deconvolve(voxels: DataFrame, box: dict[str, tuple[int, int]], size: int, st
     Sums are divided by their coverage, shifted only if negative, scaled only if above 1, smoothed by a Gaussian of a third
     of the stride, cut to the box and truncated to 8 bits.
     """
-    sites = site_grid(box, stride, voxels.sparkSession)
-    scaled = voxels.select(*AXES, (F.col("intensity") / 255.0).alias("intensity"))
-    laid = kernels.overlap_add(predict(kernels.patches(scaled, sites, size), predictor, mean, std), sites, size)
-    level = laid.select(*AXES, (F.col("total") / F.col("coverage")).alias("v"))
-    span = level.agg(F.least(F.min("v"), F.lit(0.0)).alias("low"), F.max("v").alias("high"))
-    unit = level.crossJoin(F.broadcast(span)).select(*AXES, ((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0))).alias("intensity"))
+    mean_, std_ = (0.0, 1.0) if mean is None else (mean, std)
+    volume = blocks.store(blocks.pack(voxels.select(*AXES, (F.col("intensity") / 255.0).alias("intensity"))))
+    level = cut(blocks.overlaid(volume, box, size, stride, lambda x: predictor((x - mean_) / std_)))
+    low, high = level.agg(F.least(F.min("low"), F.lit(0.0)), F.max("high")).first()
+    unit = blocks.store(blocks.scaled(level, lambda v: (v - low) / max(high - low, 1.0)))
     sigma = stride / 3
     reach = int(np.ceil(2 * sigma))
     offsets = [(a, b, c, np.exp(-(a * a + b * b + c * c) / (2 * sigma * sigma))) for a, b, c, _ in kernels.cube(reach)]
     whole = sum(w for *_, w in offsets)
-    smooth = kernels.convolve(unit, [(a, b, c, float(w / whole)) for a, b, c, w in offsets])
-    for a, (low, high) in box.items():
-        smooth = smooth.where((F.col(a) >= low) & (F.col(a) < high))
+    smooth = blocks.convolve(unit, [(a, b, c, float(w / whole)) for a, b, c, w in offsets])
+    for a, (low_, high_) in box.items():
+        smooth = smooth.where((F.col(a) >= low_) & (F.col(a) < high_))
     return smooth.select(*AXES, F.least(F.lit(255), F.floor(F.round(F.col("local_mass") * 255, 6))).cast("int").alias("intensity"))
 
 
 def balanced(examples: DataFrame, label: str = "label", seed: int = 0) -> DataFrame:
     """As many negatives as positives: those whose seeded hash of the id is smallest."""
-    n = examples.where(F.col(label) == 1).count()
-    negatives = examples.where(F.col(label) == 0).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
-    return examples.where(F.col(label) == 1).unionByName(negatives)
+    marked = cut(examples.withColumn("_hash", F.xxhash64("id", F.lit(seed))))
+    negatives = marked.where(F.col(label) == 0)
+    # places, not a sort: no task holds all the negatives that are taken
+    placed = numbered(negatives.withColumn("_row", F.monotonically_increasing_id()), F.col("_hash"), F.col("id"), F.col("_row"), name="_place")
+    few = placed.where(F.col("_place") < marked.where(F.col(label) == 1).count())
+    return marked.where(F.col(label) == 1).drop("_hash").unionByName(few.drop("_hash", "_row", "_place"))
 
 
 def view_dropout(examples: DataFrame, rate: float, features: str = "features", seed: int = 0) -> DataFrame:
@@ -118,6 +124,22 @@ def masked(examples: DataFrame, category: str, features: str = "features") -> Da
     return examples.withColumn(features, F.transform(features, lambda v: v * F.col(category)))
 
 
+def gaussian_targets(markers: DataFrame, size: tuple[int, int, int], margin: float, sigma: float = 1.0, truncate: float = 1.5) -> DataFrame:
+    """``x, y, z, target``: the volume with 1 at each marker's voxel, smoothed by a Gaussian and divided by its greatest value.
+
+    Only markers deeper than the margin count, two at one voxel as one. The Gaussian ends at ``int(truncate * sigma + 0.5)``
+    cells along each axis; cells it doesn't reach have no row, outside the volume there are none.
+    """
+    reach = int(truncate * sigma + 0.5)
+    at = markers.where(margin_depth(size, margin) > 0).select(*[F.rint(a).cast("int").alias(a) for a in AXES]).distinct()
+    offsets = [(a, b, c, math.exp(-(a * a + b * b + c * c) / (2 * sigma * sigma))) for a, b, c, _ in kernels.cube(reach)]
+    sums = kernels.shifted(at, offsets).groupBy(*AXES).agg(F.sum("w").alias("w"))
+    for a, w in zip(AXES, size, strict=True):
+        sums = sums.where(F.col(a).between(0, w - 1))
+    sums = cut(sums)
+    return sums.crossJoin(F.broadcast(sums.agg(F.max("w").alias("most")))).select(*AXES, (F.col("w") / F.col("most")).alias("target"))
+
+
 def shrunk_sigma(markers: DataFrame, sigma: float, radius: float, skip_nearest: bool = False) -> DataFrame:
     """``id, sigma``: a target's width, a third of the distance to its nearest other marker where that is less.
 

@@ -37,8 +37,9 @@ def read_markers(spark: SparkSession, path: str, from_annotator: bool = False) -
     df = raw.toDF(*[c.strip().lstrip("#") for c in raw.columns])
     df = df.withColumns({a: F.col(a).cast("double") for a in AXES})
     if from_annotator:
-        n = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-        return df.withColumn("name", F.when(F.coalesce("name", F.lit("")) == "", F.format_string("landmark %d", n)).otherwise(F.col("name")))
+        placed = by_order(df.withColumn("_row", F.monotonically_increasing_id()), F.col("_row"), name="_n").drop("_row")
+        named = F.when(F.coalesce("name", F.lit("")) == "", F.format_string("landmark %d", F.col("_n") + 1)).otherwise(F.col("name"))
+        return placed.withColumn("name", named).drop("_n")
     return parse_comments(df)
 
 

@@ -7,30 +7,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelspark.functions.numbering import running
 from voxelspark.functions.storage import cut
 from voxelspark.operators.spatial import components, distance_join
 from voxelspark.operators.tiling import inside
 
 
+AXES = ("x", "y", "z")
+
+
 def candidates(first: DataFrame, second: DataFrame, radius: float) -> DataFrame:
     """``a_id, b_id, d, weight`` of all pairs closer than the radius; weight is 1 over the distance (0.001 at least)."""
     pairs = distance_join(first, second, radius).select("a_id", "b_id", "d")
     return pairs.withColumn("weight", 1.0 / F.greatest(F.lit(0.001), F.col("d")))
 
 
-def greedy(pairs: DataFrame) -> DataFrame:
-    """Pairs picked by ascending (d, a, b), each end once.
+def greedy(pairs: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs picked by ascending (d, a, b), each end once (within its ``group``, if there are any).
 
     A pair that is the first of all live pairs at both its ends would be picked by the sequential walk as well, so
     whole rounds of such pairs are taken at once; every round settles at least the first pair that is left.
     """
     order = F.struct("d", "a_id", "b_id")
-    live, out = cut(pairs.select("a_id", "b_id", "d")), None
+    live, out = cut(pairs.select(*group, "a_id", "b_id", "d")), None
     while not live.isEmpty():
-        ranked = live.withColumn("fa", F.min(order).over(Window.partitionBy("a_id"))).withColumn("fb", F.min(order).over(Window.partitionBy("b_id")))
-        won = cut(ranked.where((order == F.col("fa")) & (order == F.col("fb"))).select("a_id", "b_id", "d"))
+        ranked = live.withColumn("fa", F.min(order).over(Window.partitionBy(*group, "a_id"))).withColumn("fb", F.min(order).over(Window.partitionBy(*group, "b_id")))
+        won = cut(ranked.where((order == F.col("fa")) & (order == F.col("fb"))).select(*group, "a_id", "b_id", "d"))
         out = won if out is None else out.unionByName(won)
-        live = cut(live.join(won.select("a_id"), "a_id", "left_anti").join(won.select("b_id"), "b_id", "left_anti"))
+        live = cut(live.join(won.select(*group, "a_id"), [*group, "a_id"], "left_anti").join(won.select(*group, "b_id"), [*group, "b_id"], "left_anti"))
     return out if out is not None else live
 
 
@@ -116,6 +120,75 @@ def evaluate(true: DataFrame, pred: DataFrame, size: tuple[int, int, int], margi
     return prf(counts), listed
 
 
+def _steps(true: DataFrame, pred: DataFrame, attribute: str, size: tuple[int, int, int], margin: float, radius: float) -> DataFrame:
+    """``value, hits, found``: by how much the matched true markers inside and the matched predictions inside change where the threshold passes ``value``.
+
+    Only predictions with an attribute above the threshold take part. A matching falls into those of the connected
+    components of all candidate pairs, and a component's changes only at its own attributes, so every component is matched
+    once for each of those (and once for all its pairs, at null) and nothing is matched once a threshold of the whole list.
+    """
+    a = true.select("id", *AXES, inside(size, margin).alias("in"))
+    b = pred.select("id", *AXES, inside(size, margin).alias("in"), F.col(attribute).cast("double").alias("v"))
+    pairs = cut(distance_join(a, b, radius).select("a_id", "b_id", "d", "a_in", "b_in", "b_v"))
+    coded = pairs.select((F.col("a_id") * 2).alias("u"), (F.col("b_id") * 2 + 1).alias("v"))
+    group = components(coded.select(F.col("u").alias("id")).unionByName(coded.select(F.col("v").alias("id"))).distinct(), coded)
+    named = cut(pairs.join(group, pairs["a_id"] * 2 == group["id"]).drop("id"))
+    values = named.select("component", F.col("b_v").alias("value")).distinct()
+    states = cut(values.unionByName(values.select("component", F.lit(None).cast("double").alias("value")).distinct()))
+    # null, where all take part, is coded as the least value; no attribute is below it
+    least = F.coalesce(F.col("value"), F.lit(float("-inf")))
+    alive = named.join(states, "component").where(F.col("b_v") > least).select("component", least.alias("value"), "a_id", "b_id", "d", "a_in", "b_in")
+    won = greedy(alive, ("component", "value"))
+    ends = named.select("component", "a_id", "b_id", "a_in", "b_in")
+    per = won.join(ends, ["component", "a_id", "b_id"]).groupBy("component", "value").agg(F.count_if("a_in").alias("hits"), F.count_if("b_in").alias("found"))
+    every = states.select("component", least.alias("value")).join(per, ["component", "value"], "left").fillna(0, ["hits", "found"])
+    earlier = Window.partitionBy("component").orderBy("value")
+    change = lambda c: F.col(c) - F.coalesce(F.lag(c).over(earlier), F.lit(0))
+    return every.select("value", change("hits").alias("hits"), change("found").alias("found"))
+
+
+def pr_sweep(true: DataFrame, pred: DataFrame, attribute: str, size: tuple[int, int, int], margin: float, radius: float, more_than: int = 10, at: list[float] | None = None) -> DataFrame:
+    """``value, n, tp, fp, fn, precision, recall, f1`` for each distinct attribute of a prediction inside: predictions above it, matched greedily.
+
+    ``n`` are the predictions inside above the value; values with ``more_than`` of them or fewer have no row. Hits are judged
+    inside by the true marker, false positives by the predicted one. ``at`` are further values to judge at.
+    """
+    true, pred = cut(true), cut(pred.where(F.col(attribute).isNotNull()))
+    total = true.where(inside(size, margin)).count()
+    within = pred.where(inside(size, margin)).select(F.col(attribute).cast("double").alias("value"))
+    steps = _steps(true, pred, attribute, size, margin, radius)
+    asked = within.distinct()
+    if at:
+        asked = asked.unionByName(true.sparkSession.createDataFrame([(float(v),) for v in at], "value double")).distinct()
+    none = [F.lit(0).cast("long").alias(c) for c in ("hits", "found", "gone")]
+    events = steps.select("value", "hits", "found", none[2], F.lit(0).alias("asked"))
+    events = events.unionByName(within.select("value", none[0], none[1], F.lit(1).cast("long").alias("gone"), F.lit(0).alias("asked"))).unionByName(asked.select("value", *none, F.lit(1).alias("asked")))
+    merged = events.groupBy("value").agg(*[F.sum(c).alias(c) for c in ("hits", "found", "gone")], F.max("asked").alias("asked"))
+    summed = running(merged, {"tp": "hits", "matched": "found", "below": "gone"}, F.col("value")).where("asked = 1")
+    n = F.lit(within.count()) - F.col("below")
+    counts = summed.select("value", n.alias("n"), "tp", (n - F.col("matched")).alias("fp"), (F.lit(total) - F.col("tp")).alias("fn")).where(F.col("n") > more_than)
+    return prf(counts)
+
+
+def best_cut(curve: DataFrame) -> DataFrame:
+    """The row of a sweep with the greatest F1, the least value of equal ones."""
+    return curve.agg(F.max_by(F.struct(*curve.columns), F.struct("f1", -F.col("value"))).alias("best")).where("best.f1 > 0").select("best.*")
+
+
+def model_scores(log: DataFrame, *parameters: str) -> DataFrame:
+    """``parameters, tp, fp, fn, precision, recall, f1``: the totals of each run over all its rows ``tp, fp, fn``."""
+    return prf(log.groupBy(*parameters).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+
+
+def model_pivot(scores: DataFrame, rows: str, columns: str, score: str, values: list | None = None) -> DataFrame:
+    """``rows`` and a column ``{columns}={value}`` for each value of ``columns`` (those given, or all there are): one score of each run.
+
+    With rows and columns exchanged it is the transpose.
+    """
+    wide = scores.groupBy(rows).pivot(columns, values).agg(F.first(score))
+    return wide.select(rows, *[F.col(f"`{c}`").alias(f"{columns}={c}") for c in wide.columns[1:]])
+
+
 def suppress(points: DataFrame, radius: float, heaviest_first: bool = True, group: str | None = None) -> DataFrame:
     """Greedy suppression: visit by mass, keep a point unless a kept one is within the radius.
 

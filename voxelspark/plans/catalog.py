@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.operators import detect, kernels, learning, markers, matching, shape, spatial, threshold, tiling
+from voxelspark.operators import blocks, detect, kernels, learning, markers, matching, shape, spatial, threshold, tiling
 from voxelspark.plans.fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,15 @@ def _voxels(spark, d):
     return view(spark, d, "voxels")
 
 
+def _stored(spark, d, name="voxels"):
+    """A volume as a block store."""
+    return blocks.store(blocks.pack(view(spark, d, name)))
+
+
+def _patches(spark, d):
+    return blocks.patches(_stored(spark, d), _centres(spark, d), 1).select("id", F.col("patch").cast("array<int>").alias("patch"))
+
+
 def _tiled(spark, d):
     return tiling.assign_tiles(_voxels(spark, d), VOLUME, VOLUME_TILES, VOLUME_MARGIN)
 
@@ -124,6 +133,17 @@ def kapur(spark, d):
     return threshold.kapur(_hist(spark, d), "tile_id")
 
 
+@query(
+    f"""WITH {HIST}, {PREFIX}, pairs AS (SELECT a.tile_id, a.t AS a, b.t AS b, {_h("a", "b")} AS h FROM q a JOIN q b ON a.tile_id = b.tile_id AND a.t < b.t)
+    SELECT tile_id, t0, t1, t2 FROM (SELECT x.tile_id, x.b AS t0, y.b AS t1, z.b AS t2, row_number() OVER (PARTITION BY x.tile_id ORDER BY round(x.h + y.h + z.h + e.h, 9) DESC, x.b, y.b, z.b) AS r
+      FROM pairs x JOIN pairs y ON y.tile_id = x.tile_id AND y.a = x.b JOIN pairs z ON z.tile_id = x.tile_id AND z.a = y.b JOIN pairs e ON e.tile_id = x.tile_id AND e.a = z.b AND e.b = 256 WHERE x.a = 0 AND z.b <= 255) WHERE r = 1""",
+    ("voxels",),
+)
+def three_kapur(spark, d):
+    """Three cuts a tile by the dynamic programme; the SQL tries all triples."""
+    return threshold.multi_kapur(_hist(spark, d), "tile_id", 3)
+
+
 @query(f"WITH {HIST}, {PREFIX}, {CUTS} SELECT tile_id, t0, t1 FROM cuts", ("voxels",))
 def two_kapur(spark, d):
     return threshold.two_kapur(_hist(spark, d), "tile_id")
@@ -166,12 +186,12 @@ def voxel_class_colors(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT min(mass) AS low, max(mass) AS high FROM markers_pred), h AS (SELECT CAST(least(floor(coalesce((mass - low) / nullif(high - low, 0), 0) * 256), 255) AS INT) AS bin FROM markers_pred, s),
+    """WITH s AS (SELECT min(mass) AS low, max(mass) AS high FROM markers_pred), h AS (SELECT CAST(floor(coalesce((mass - low) / nullif(high - low, 0), 0) * 255) AS INT) AS bin FROM markers_pred, s),
     tv AS (SELECT 'g' AS tile_id, bin AS intensity, 1 AS x FROM h), hist AS (SELECT 'g' AS tile_id, b.bin, CAST(count(v.x) AS BIGINT) AS n FROM (SELECT CAST(range AS INT) AS bin FROM range(256)) b LEFT JOIN tv v ON v.intensity = b.bin GROUP BY ALL), """
     + PREFIX
     + ", "
     + CUTS
-    + " SELECT round(low + t0 * (high - low) / 256, 6) AS threshold FROM cuts, s",
+    + " SELECT round(low + t0 / 255.0 * (high - low), 6) AS threshold FROM cuts, s",
     ("markers_pred",),
 )
 def max_entropy_attr(spark, d):
@@ -232,7 +252,7 @@ def _cube_sql(n: int) -> str:
     ("voxels",),
 )
 def ball_convolution(spark, d):
-    return kernels.convolve(_voxels(spark, d), kernels.ball(2)).select(*AXES, "intensity", F.round("local_mass", 6).alias("local_mass"))
+    return blocks.convolve(_stored(spark, d), kernels.ball(2)).select(*AXES, F.col("intensity").cast("int").alias("intensity"), F.round("local_mass", 6).alias("local_mass"))
 
 
 @query(
@@ -241,7 +261,7 @@ def ball_convolution(spark, d):
     ("voxels",),
 )
 def soft_convolution(spark, d):
-    return kernels.convolve(_voxels(spark, d), kernels.ball(2, soft=True)).select(*AXES, "intensity", F.round("local_mass", 6).alias("local_mass"))
+    return blocks.convolve(_stored(spark, d), kernels.ball(2, soft=True)).select(*AXES, F.col("intensity").cast("int").alias("intensity"), F.round("local_mass", 6).alias("local_mass"))
 
 
 _FLAT = """
@@ -262,7 +282,7 @@ def regional_maxima(spark, d):
     ("voxels",),
 )
 def local_entropy(spark, d):
-    return kernels.local_entropy(_voxels(spark, d), 1).withColumn("entropy", F.round("entropy", 6))
+    return blocks.local_entropy(_stored(spark, d), 1).select(*AXES, F.col("intensity").cast("int").alias("intensity"), F.round("entropy", 6).alias("entropy"))
 
 
 @query(
@@ -277,7 +297,7 @@ def local_entropy(spark, d):
     ("voxels", "volume_b"),
 )
 def content_fusion(spark, d):
-    return kernels.content_fusion(kernels.local_entropy(_voxels(spark, d), 1), kernels.local_entropy(view(spark, d, "volume_b"), 1))
+    return kernels.content_fusion(blocks.local_entropy(_stored(spark, d), 1), blocks.local_entropy(_stored(spark, d, "volume_b"), 1))
 
 
 _CENTRES = "SELECT id, CAST(2 + id % 12 AS INT) AS x, CAST(2 + (id * 7) % 12 AS INT) AS y, CAST(2 + (id * 5) % 12 AS INT) AS z FROM markers_true"
@@ -294,13 +314,13 @@ _PATCH = f"""pt AS ({_CENTRES}), o AS (SELECT *, (dz + 1) * 9 + (dy + 1) * 3 + d
 
 @query(f"WITH {_PATCH} SELECT id, array_to_string(list(v ORDER BY pos), ' ') AS patch FROM pv GROUP BY id", ("voxels", "markers_true"))
 def patch_extract(spark, d):
-    p = kernels.patches(_voxels(spark, d), _centres(spark, d), 1)
+    p = _patches(spark, d)
     return p.select("id", F.array_join(F.transform("patch", lambda v: v.cast("string")), " ").alias("patch"))
 
 
 @query(f"WITH {_PATCH} SELECT pos AS pos, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM pv GROUP BY pos", ("voxels", "markers_true"))
 def standardize(spark, d):
-    p = kernels.patches(_voxels(spark, d), _centres(spark, d), 1).select(F.posexplode("patch").alias("pos", "v"))
+    p = _patches(spark, d).select(F.posexplode("patch").alias("pos", "v"))
     return p.groupBy("pos").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
 
 
@@ -309,7 +329,7 @@ def standardize(spark, d):
     ("voxels", "markers_true"),
 )
 def patch_standardized(spark, d):
-    p = kernels.patches(_voxels(spark, d), _centres(spark, d), 1).select("id", F.posexplode("patch").alias("pos", "v"))
+    p = _patches(spark, d).select("id", F.posexplode("patch").alias("pos", "v"))
     s = p.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     return p.join(s, "pos").select("id", "pos", F.round((F.col("v") - F.col("m")) / F.nullif("s", F.lit(0.0)), 6).alias("value"))
 
@@ -319,7 +339,7 @@ def patch_standardized(spark, d):
     ("voxels", "markers_true"),
 )
 def local_standardize(spark, d):
-    p = kernels.patches(_voxels(spark, d), _centres(spark, d), 1)
+    p = _patches(spark, d)
     mean = F.aggregate("patch", F.lit(0.0), lambda a, v: a + v) / F.size("patch")
     v = p.where(mean > 5).select("id", F.explode("patch").alias("v"))
     return v.agg(F.count_distinct("id").alias("patches"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
@@ -328,7 +348,7 @@ def local_standardize(spark, d):
 @query(f"WITH {_PATCH} SELECT x, y, z, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS coverage FROM pv GROUP BY x, y, z", ("voxels", "markers_true"))
 def overlap_add(spark, d):
     c = _centres(spark, d)
-    return kernels.overlap_add(kernels.patches(_voxels(spark, d), c, 1), c, 1)
+    return kernels.overlap_add(_patches(spark, d), c, 1)
 
 
 @query(
@@ -338,22 +358,21 @@ def overlap_add(spark, d):
 )
 def overlap_normalize(spark, d):
     c = _centres(spark, d)
-    m = kernels.overlap_add(kernels.patches(_voxels(spark, d), c, 1), c, 1).select(*AXES, (F.col("total") / F.col("coverage")).alias("m"))
+    m = kernels.overlap_add(_patches(spark, d), c, 1).select(*AXES, (F.col("total") / F.col("coverage")).alias("m"))
     span = m.agg(F.least(F.min("m"), F.lit(0.0)).alias("low"), F.max("m").alias("high"))
     return m.crossJoin(F.broadcast(span)).select(*AXES, F.round((F.col("m") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0)), 6).alias("value"))
 
 
 @query(
-    f"""WITH g AS (SELECT id, CAST(round_even(x, 0) AS INT) AS cx, CAST(round_even(y, 0) AS INT) AS cy, CAST(round_even(z, 0) AS INT) AS cz FROM markers_true), o AS (SELECT * FROM {_cube_sql(1)})
-    SELECT cx + dx AS x, cy + dy AS y, cz + dz AS z, round(sum(exp(-(dx*dx+dy*dy+dz*dz) / 2.0)), 6) AS target FROM g CROSS JOIN o GROUP BY 1, 2, 3""",
+    f"""WITH g AS (SELECT DISTINCT CAST(round_even(x, 0) AS INT) AS cx, CAST(round_even(y, 0) AS INT) AS cy, CAST(round_even(z, 0) AS INT) AS cz FROM markers_true
+    WHERE least(x - {BOX_MARGIN}, {BOX[0]} - {BOX_MARGIN} - x, y - {BOX_MARGIN}, {BOX[1]} - {BOX_MARGIN} - y, z - {BOX_MARGIN}, {BOX[2]} - {BOX_MARGIN} - z) > 0), o AS (SELECT * FROM {_cube_sql(2)}),
+    s AS (SELECT cx + dx AS x, cy + dy AS y, cz + dz AS z, sum(exp(-(dx*dx+dy*dy+dz*dz) / 2.0)) AS w FROM g CROSS JOIN o GROUP BY 1, 2, 3)
+    SELECT x, y, z, round(w / max(w) OVER (), 6) AS target FROM s WHERE x BETWEEN 0 AND {BOX[0] - 1} AND y BETWEEN 0 AND {BOX[1] - 1} AND z BETWEEN 0 AND {BOX[2] - 1}""",
     ("markers_true",),
 )
 def gaussian_target(spark, d):
-    at = _true(spark, d).select(*[F.rint(a).cast("int").alias(a) for a in AXES])
-    import math
-
-    offsets = [(a, b, c, math.exp(-(a * a + b * b + c * c) / 2.0)) for a, b, c, _ in kernels.cube(1)]
-    return kernels.shifted(at, offsets).groupBy(*AXES).agg(F.round(F.sum("w"), 6).alias("target"))
+    """Training target of the whole box: markers inside the margin, smoothed and scaled to 1."""
+    return learning.gaussian_targets(_true(spark, d), BOX, BOX_MARGIN).withColumn("target", F.round("target", 6))
 
 
 @query(
@@ -694,30 +713,99 @@ def results_rollup(spark, d):
     return matching.prf(log.withColumn("tile_id", F.when(F.col("all") == 1, "TOTAL").otherwise(F.col("tile_id"))).drop("all"))
 
 
-@query(
-    f"""WITH p AS (SELECT a.id, {D} AS d FROM markers_true a JOIN markers_pred b ON {D} < 12), k AS (SELECT r, big, count(DISTINCT id) AS n FROM (SELECT id, CAST(id % 2 AS INT) AS big, d, r FROM p CROSS JOIN (VALUES (4), (8), (12)) t(r) WHERE d < r) GROUP BY r, big)
-    SELECT big AS parity, CAST(coalesce(max(CASE WHEN r = 4 THEN n END), 0) AS BIGINT) AS r4, CAST(coalesce(max(CASE WHEN r = 8 THEN n END), 0) AS BIGINT) AS r8, CAST(coalesce(max(CASE WHEN r = 12 THEN n END), 0) AS BIGINT) AS r12 FROM k GROUP BY big""",
-    ("markers_true", "markers_pred"),
-)
+#: Runs of a model: the reach of a match and the attribute a prediction needs.
+REACHES, NEEDS = (4, 8, 12), (0, 1000, 1500)
+_RUNS = f"""p AS (SELECT a.id AS a, b.id AS b, b.mass, {D} AS d FROM markers_true a JOIN markers_pred b ON {D} < 12),
+ g AS (SELECT r, need FROM (SELECT unnest([4, 8, 12]) AS r), (SELECT unnest([0, 1000, 1500]) AS need)),
+ k AS (SELECT r, need, count(DISTINCT a) AS tp, count(DISTINCT b) AS found FROM g LEFT JOIN p ON d < r AND mass > need GROUP BY r, need),
+ l AS (SELECT r, need, CAST(tp AS BIGINT) AS tp, CAST((SELECT count(*) FROM markers_pred WHERE mass > need) - found AS BIGINT) AS fp, CAST((SELECT count(*) FROM markers_true) - tp AS BIGINT) AS fn FROM k),
+ runs AS (SELECT r, need, tp, fp, fn, {_PRF} FROM l)"""
+
+
+def _runs(spark, d):
+    """``r, need, tp, fp, fn``: markers with a counterpart in reach, for every run."""
+    true, pred = _true(spark, d), _pred(spark, d).select("id", *AXES, "mass")
+    runs = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(n).alias("need")) for r in REACHES for n in NEEDS]))
+    near = spatial.distance_join(true.select("id", *AXES), pred, float(max(REACHES))).select("a_id", "b_id", "d", "b_mass", runs.alias("k")).where("d < k.r AND b_mass > k.need")
+    hits = near.groupBy("k.r", "k.need").agg(F.count_distinct("a_id").alias("tp"), F.count_distinct("b_id").alias("found"))
+    every = pred.select("mass", runs.alias("k")).where("mass > k.need").groupBy("k.r", "k.need").agg(F.count(F.lit(1)).alias("n"))
+    log = every.join(hits, ["r", "need"], "left").fillna(0, ["tp", "found"])
+    return log.crossJoin(F.broadcast(true.agg(F.count(F.lit(1)).alias("all")))).select("r", "need", "tp", (F.col("n") - F.col("found")).alias("fp"), (F.col("all") - F.col("tp")).alias("fn"))
+
+
+def _pivot_sql(rows: str, columns: str, values: tuple[int, ...]) -> str:
+    parts = []
+    for score in ("precision", "recall", "f1"):
+        cells = ", ".join(f"max(CASE WHEN {columns} = {v} THEN {score} END) AS {columns}_{v}" for v in values)
+        parts.append(f"SELECT '{score}' AS score, {rows}, {cells} FROM runs GROUP BY {rows}")
+    return f"WITH {_RUNS} " + " UNION ALL ".join(parts)
+
+
+def _pivots(spark, d, rows: str, columns: str, values: tuple[int, ...]):
+    scores, out = matching.model_scores(_runs(spark, d), "r", "need"), None
+    for score in ("precision", "recall", "f1"):
+        wide = matching.model_pivot(scores, rows, columns, score, list(values))
+        part = wide.select(F.lit(score).alias("score"), rows, *[F.col(f"`{columns}={v}`").alias(f"{columns}_{v}") for v in values])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {_RUNS} SELECT * FROM runs", ("markers_true", "markers_pred"))
+def model_scores(spark, d):
+    """Precision, recall and F1 of every run."""
+    return matching.model_scores(_runs(spark, d), "r", "need")
+
+
+@query(_pivot_sql("need", "r", REACHES), ("markers_true", "markers_pred"))
 def model_pivot(spark, d):
-    """Model selection as a pivot: markers found, by radius."""
-    p = spatial.distance_join(_true(spark, d), _pred(spark, d), 12.0).select("a_id", "d")
-    each = p.select("a_id", "d", F.explode(F.array(F.lit(4), F.lit(8), F.lit(12))).alias("r")).where("d < r")
-    out = each.groupBy((F.col("a_id") % 2).cast("int").alias("parity")).pivot("r", [4, 8, 12]).agg(F.count_distinct("a_id"))
-    return out.select("parity", *[F.coalesce(F.col(str(r)), F.lit(0)).alias(f"r{r}") for r in (4, 8, 12)])
+    """Model selection: each score as a table of one parameter by the other."""
+    return _pivots(spark, d, "need", "r", REACHES)
+
+
+@query(_pivot_sql("r", "need", NEEDS), ("markers_true", "markers_pred"))
+def model_pivot_transposed(spark, d):
+    return _pivots(spark, d, "r", "need", NEEDS)
+
+
+_SWEEP = f"""vals AS (SELECT v, count(*) AS n FROM (SELECT DISTINCT mass AS v FROM markers_pred WHERE {_INSIDE}) JOIN markers_pred ON mass > v WHERE {_INSIDE} GROUP BY v HAVING count(*) > 10),
+ pairs AS (SELECT a.id AS a, b.id AS b, b.mass AS m, row_number() OVER (ORDER BY {D}, a.id, b.id) AS k FROM markers_true a JOIN markers_pred b ON {D} < 8),
+ r AS (SELECT v, a, b, k, 0 AS won FROM vals JOIN pairs ON m > v UNION ALL
+  SELECT v, a, b, k, won FROM (SELECT *, max(won) OVER (PARTITION BY v, a) AS wa, max(won) OVER (PARTITION BY v, b) AS wb FROM
+   (SELECT v, a, b, k, CASE WHEN k = min(k) OVER (PARTITION BY v, a) AND k = min(k) OVER (PARTITION BY v, b) THEN 1 ELSE 0 END AS won FROM r WHERE won = 0)) WHERE won = 1 OR (wa = 0 AND wb = 0)),
+ h AS (SELECT v, count(*) AS tp FROM r JOIN markers_true t ON t.id = r.a WHERE won = 1 AND {_INSIDE} GROUP BY v),
+ f AS (SELECT v, count(*) AS found FROM r JOIN markers_pred t ON t.id = r.b WHERE won = 1 AND {_INSIDE} GROUP BY v),
+ l AS (SELECT vals.v AS value, CAST(n AS BIGINT) AS n, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(n - coalesce(found, 0) AS BIGINT) AS fp,
+   CAST((SELECT count(*) FROM markers_true WHERE {_INSIDE}) - coalesce(tp, 0) AS BIGINT) AS fn FROM vals LEFT JOIN h ON h.v = vals.v LEFT JOIN f ON f.v = vals.v),
+ curve AS (SELECT value, n, tp, fp, fn, {_PRF} FROM l)"""
+
+
+def _sweep(spark, d):
+    return matching.pr_sweep(_true(spark, d), _pred(spark, d), "mass", BOX, 40, 8.0)
+
+
+@query(f"WITH RECURSIVE {_SWEEP} SELECT * FROM curve", ("markers_true", "markers_pred"))
+def pr_curve(spark, d):
+    """Precision, recall and F1 at every value of an attribute; the SQL matches anew for each."""
+    return _sweep(spark, d)
+
+
+@query(f"WITH RECURSIVE {_SWEEP} SELECT * FROM curve WHERE f1 > 0 ORDER BY f1 DESC, value LIMIT 1", ("markers_true", "markers_pred"))
+def pr_best(spark, d):
+    """The value with the best F1."""
+    return matching.best_cut(_sweep(spark, d))
 
 
 @query(
-    f"""WITH p AS (SELECT DISTINCT b.id, b.mass FROM markers_true a JOIN markers_pred b ON {D} < 8), c AS (SELECT CAST(range * 200 AS DOUBLE) AS cut FROM range(6, 11))
-    SELECT cut, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN m.id IN (SELECT id FROM p) THEN 1 ELSE 0 END) AS BIGINT) AS tp, round(sum(CASE WHEN m.id IN (SELECT id FROM p) THEN 1.0 ELSE 0.0 END) / count(*), 6) AS precision FROM c JOIN markers_pred m ON mass > cut GROUP BY cut HAVING count(*) >= 11""",
+    f"""WITH RECURSIVE d AS (SELECT DISTINCT mass FROM markers_pred WHERE {_INSIDE}), s AS (SELECT min(mass) AS low, max(mass) AS high FROM d), b AS (SELECT CAST(floor(coalesce((mass - low) / nullif(high - low, 0), 0) * 255) AS INT) AS bin FROM d, s),
+    hist AS (SELECT 'g' AS tile_id, n.bin, CAST(count(b.bin) AS BIGINT) AS n FROM (SELECT CAST(range AS INT) AS bin FROM range(256)) n LEFT JOIN b ON n.bin = b.bin GROUP BY ALL), {PREFIX}, {CUTS},
+    e AS (SELECT round(low + t0 / 255.0 * (high - low), 6) AS v FROM cuts, s), {_SWEEP.replace(f"(SELECT DISTINCT mass AS v FROM markers_pred WHERE {_INSIDE})", "e")} SELECT * FROM curve""",
     ("markers_true", "markers_pred"),
 )
-def pr_curve(spark, d):
-    """Precision over thresholds of an attribute, each with at least eleven predictions."""
-    hit = spatial.distance_join(_true(spark, d), _pred(spark, d), 8.0).select(F.col("b_id").alias("id"), F.lit(1).alias("hit")).distinct()
-    cuts = _pred(spark, d).join(hit, "id", "left").select("hit", "mass", F.explode(F.array(*[F.lit(float(c)) for c in range(1200, 2200, 200)])).alias("cut")).where("mass > cut")
-    by = cuts.groupBy("cut").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("tp")).where("n >= 11")
-    return by.withColumn("precision", F.round(F.col("tp") / F.col("n"), 6))
+def pr_entropy(spark, d):
+    """The scores where the entropy of all values of the attribute would cut."""
+    values = _pred(spark, d).where(tiling.inside(BOX, 40)).select("mass").distinct()
+    at = threshold.max_entropy_of(values, "mass").first().threshold
+    return matching.pr_sweep(_true(spark, d), _pred(spark, d), "mass", BOX, 40, 8.0, at=[at]).where(F.col("value") == at)
 
 
 @query(f"SELECT CAST(floor(({D} - 10) / 0.5) AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM markers_true a JOIN markers_true b ON a.id < b.id WHERE {D} >= 10 AND {D} < 22 GROUP BY 1", ("markers_true",))

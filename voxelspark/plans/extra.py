@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelspark.operators import detect, kernels, learning, markers, matching, registration, shape, spatial, tiling
+from voxelspark.operators import blocks, detect, kernels, learning, markers, matching, registration, shape, spatial, tiling
 from voxelspark.plans.catalog import AXES, BOX, BOX_MARGIN, BOX_TILES, BOXES, IN_TILE, ORACLE, VOLUME, VOLUME_MARGIN, VOLUME_TILES, D, _comments, _cube_sql, _motion, _pred, _true, _view_pairs, _voxels, query
 from voxelspark.plans.fixtures import with_views
 
@@ -237,7 +237,7 @@ def color_hues(spark, d):
 )
 def density_entropy(spark, d):
     """Every fourth voxel on each axis: entropy, base two, of the density of the values around in 32 bins."""
-    return kernels.density_entropy(_voxels(spark, d), 1, 32, 4, 1).withColumn("entropy", F.round("entropy", 6))
+    return blocks.density_entropy(blocks.store(blocks.pack(_voxels(spark, d))), 1, 32, 4, 1).withColumn("entropy", F.round("entropy", 6))
 
 
 @query(
