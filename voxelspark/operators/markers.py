@@ -37,9 +37,9 @@ def read_markers(spark: SparkSession, path: str, from_annotator: bool = False) -
     df = raw.toDF(*[c.strip().lstrip("#") for c in raw.columns])
     df = df.withColumns({a: F.col(a).cast("double") for a in AXES})
     if from_annotator:
-        placed = by_order(df.withColumn("_row", F.monotonically_increasing_id()), F.col("_row"), name="_n").drop("_row")
-        named = F.when(F.coalesce("name", F.lit("")) == "", F.format_string("landmark %d", F.col("_n") + 1)).otherwise(F.col("name"))
-        return placed.withColumn("name", named).drop("_n")
+        placed = by_order(df.withColumn("_row", F.monotonically_increasing_id()), F.col("_row"), name="_place").drop("_row")
+        named = F.when(F.coalesce("name", F.lit("")) == "", F.format_string("landmark %d", F.col("_place") + 1)).otherwise(F.col("name"))
+        return placed.withColumn("name", named).drop("_place")
     return parse_comments(df)
 
 
@@ -115,31 +115,36 @@ def merge_in_order(markers: DataFrame, radius: float) -> DataFrame:
     """Markers of overlapping tiles merged tile by tile in the order of their names.
 
     A marker looks at the nearest of those that the tiles before its own left (ties: the smaller name); closer than
-    ``radius`` the one less deep inside its tile goes, on a tie the earlier one. Only markers of different tiles closer
-    than that ever meet, so each connected part of that graph is merged by itself.
+    ``radius`` the one less deep inside its tile goes, on a tie the earlier one.
+
+    What a marker meets depends on the earlier markers within the radius and on those that may have taken one of them
+    away before. A wave decides all markers for which both are decided, so there are as many waves as tiles follow each
+    other in one place, and no group is ever walked through as a whole.
     """
     columns = markers.select(F.xxhash64("tile_id", "id").alias("key"), "id", "tile_id", *AXES, "depth")
-    pairs = distance_join(columns, columns, radius).where("a_tile_id <> b_tile_id").select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
-    pairs = cut(pairs)
-    met = pairs.select(F.col("u").alias("id")).distinct()
-    parts = components(met, pairs).select(F.col("id").alias("key"), "component")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tile_id", "id"]).reset_index(drop=True)
-        at, depth, alive = pdf[list(AXES)].to_numpy(float), pdf["depth"].to_numpy(float), np.zeros(len(pdf), bool)
-        for _, rows in pdf.groupby("tile_id", sort=True):
-            before = np.flatnonzero(alive)
-            for k in rows.index:
-                alive[k] = True
-                if len(before):
-                    d = np.sqrt(((at[before] - at[k]) ** 2).sum(axis=1))
-                    n = before[d.argmin()]
-                    if d.min() < radius:
-                        alive[k if depth[k] < depth[n] else n] = False
-        return pdf.loc[~alive, ["key"]]
-
-    gone = columns.join(parts, "key").groupBy("component").applyInPandas(fold, "key long")
-    return markers.withColumn("_key", F.xxhash64("tile_id", "id")).join(gone, F.col("_key") == F.col("key"), "left_anti").drop("_key")
+    pairs = distance_join(columns, columns, radius).where("a_tile_id > b_tile_id")
+    pairs = cut(pairs.select(F.col("a_key").alias("k"), F.col("b_key").alias("n"), "d", F.col("a_tile_id").alias("tile"), F.col("b_tile_id").alias("n_tile"), F.col("b_id").alias("n_id"), F.col("a_depth").alias("depth"), F.col("b_depth").alias("n_depth")))
+    open_ = cut(pairs.select("k", "tile").distinct())
+    rivals = pairs.select(F.col("k").alias("on"), "n", F.col("tile").alias("on_tile"))
+    through = pairs.select("k", "n", "tile").join(rivals, "n").where("on_tile < tile").select("k", "on")
+    waits = cut(pairs.select("k", F.col("n").alias("on")).unionByName(through).join(open_.select(F.col("k").alias("on")), "on", "left_semi").distinct())
+    done = None
+    while not open_.isEmpty():
+        held = waits.join(open_.select(F.col("k").alias("on")), "on", "left_semi").select("k")
+        ready = cut(open_.join(held, "k", "left_anti"))
+        there = pairs.join(ready.select("k"), "k")
+        if done is not None:
+            # a marker is still there unless an earlier tile, or itself, took it away
+            gone = done.select(F.col("loses").alias("n"), F.col("tile").alias("by"))
+            there = there.alias("t").join(gone.alias("g"), (F.col("t.n") == F.col("g.n")) & (F.col("g.by") < F.col("t.tile")), "left_anti")
+        near = there.groupBy("k", "tile", "depth").agg(F.min(F.struct("d", "n_tile", "n_id", "n", "n_depth")).alias("m"))
+        settled = near.select("k", "tile", F.when(F.col("depth") < F.col("m.n_depth"), F.col("k")).otherwise(F.col("m.n")).alias("loses"))
+        done = cut(settled if done is None else done.unionByName(settled))
+        open_ = cut(open_.join(ready.select("k"), "k", "left_anti"))
+    if done is None:
+        return markers
+    lost = done.select(F.col("loses").alias("_lost")).distinct()
+    return markers.withColumn("_key", F.xxhash64("tile_id", "id")).join(lost, F.col("_key") == F.col("_lost"), "left_anti").drop("_key")
 
 
 def merge_tiles(markers: DataFrame, radius: float) -> DataFrame:

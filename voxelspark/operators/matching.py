@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,52 +40,112 @@ def greedy(pairs: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     return out if out is not None else live
 
 
-def _assign(w: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-weight assignment of a non-negative matrix (shortest augmenting paths on costs)."""
-    n, m = w.shape
-    if n > m:
-        return [(i, j) for j, i in _assign(w.T)]
-    cost = w.max() - w
-    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        low, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+class _Sparse:
+    """Maximum-weight matching of a bipartite graph on adjacency lists, by shortest alternating paths with duals.
+
+    Duals ``u`` and ``v`` are never negative and ``u + v`` is at least the weight of every edge, with equality on the pairs
+    matched, and a node left single has dual 0; so the sum of all duals is the matching's weight, which proves it greatest.
+    Rows come in one at a time: from one a path of least reduced cost leads to a column that is free or to a row that is
+    better left single.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray):
+        n, m = int(a.max()) + 1, int(b.max()) + 1
+        order = np.lexsort((b, a))
+        self.to, self.weight = b[order].tolist(), weight[order].tolist()
+        self.start = np.searchsorted(a[order], np.arange(n + 1)).tolist()
+        self.u = np.maximum.reduceat(weight[order], self.start[:-1]).tolist()
+        self.v, self.row, self.column = [0.0] * m, [-1] * m, [-1] * n
+        for k in range(n):
+            self._enter(k)
+
+    def _enter(self, root: int) -> None:
+        far, before, settled = {}, {}, []
+        rows, heap, at, base = {root: 0.0}, [], root, 0.0
+        best, end = self.u[root], ("row", root)
         while True:
-            used[j0] = True
-            i0 = match[j0]
-            slack = cost[i0 - 1] - u[i0] - v[1:]
-            better = ~used[1:] & (slack < low[1:])
-            low[1:][better], way[1:][better] = slack[better], j0
-            j1 = int(np.where(used[1:], np.inf, low[1:]).argmin()) + 1
-            step = low[j1]
-            u[match[used]] += step
-            v[used] -= step
-            low[~used] -= step
-            j0 = j1
-            if match[j0] == 0:
+            for e in range(self.start[at], self.start[at + 1]):
+                j = self.to[e]
+                d = base + max(0.0, self.u[at] + self.v[j] - self.weight[e])
+                if d < best and d < far.get(j, float("inf")):
+                    far[j], before[j] = d, at
+                    heapq.heappush(heap, (d, j))
+            while heap and heap[0][0] > far[heap[0][1]]:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            base, j = heapq.heappop(heap)
+            if self.row[j] < 0:
+                best, end = base, ("column", j)
                 break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] and w[match[j] - 1, j - 1] > 0]
+            settled.append(j)
+            at = self.row[j]
+            rows[at] = base
+            if base + self.u[at] < best:
+                best, end = base + self.u[at], ("row", at)
+        for k, d in rows.items():
+            if d < best:
+                self.u[k] -= best - d
+        for j in settled:
+            if far[j] < best:
+                self.v[j] += best - far[j]
+        kind, node = end
+        if kind == "row":
+            self.u[node] = 0.0
+            if node == root:
+                return
+            freed, self.column[node] = self.column[node], -1
+            node = freed
+        # along the path every column takes the row it was reached from
+        while True:
+            k = before[node]
+            self.row[node], self.column[k], node = k, node, self.column[k]
+            if k == root:
+                return
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A component: a row a pair matched, and one for each node with its dual."""
     pdf = pdf.sort_values(["a_id", "b_id"])
-    a, b = np.unique(pdf.a_id, return_inverse=True), np.unique(pdf.b_id, return_inverse=True)
-    w, d = np.zeros((len(a[0]), len(b[0]))), np.zeros((len(a[0]), len(b[0])))
-    w[a[1], b[1]], d[a[1], b[1]] = pdf.weight, pdf.d
-    picked = _assign(w)
-    return pd.DataFrame({"a_id": [a[0][i] for i, _ in picked], "b_id": [b[0][j] for _, j in picked], "d": [d[i, j] for i, j in picked]})
+    (a, i), (b, j) = (np.unique(pdf[c], return_inverse=True) for c in ("a_id", "b_id"))
+    found = _Sparse(i, j, pdf["weight"].to_numpy(float))
+    d = dict(zip(zip(i.tolist(), j.tolist(), strict=True), pdf["d"].tolist(), strict=True))
+    pairs = [(int(a[k]), int(b[c]), d[k, c], None) for k, c in enumerate(found.column) if c >= 0]
+    duals = [(int(x), None, None, u) for x, u in zip(a, found.u, strict=True)] + [(None, int(x), None, v) for x, v in zip(b, found.v, strict=True)]
+    return pd.DataFrame(pairs + duals, columns=["a_id", "b_id", "d", "dual"]).astype({"a_id": "Int64", "b_id": "Int64", "d": float, "dual": float})
 
 
-def max_weight(pairs: DataFrame) -> DataFrame:
-    """Matching of greatest total weight: the candidate graph falls into components, each small one is solved in numpy."""
+def solved(pairs: DataFrame) -> DataFrame:
+    """``a_id, b_id, d, dual``: the pairs of a matching of greatest total weight (dual null), and of every node its dual.
+
+    The candidate graph falls into connected components, which are dealt to tasks; one needs memory for its edges.
+    """
     coded = pairs.select((F.col("a_id") * 2).alias("u"), (F.col("b_id") * 2 + 1).alias("v"))
     nodes = coded.select(F.col("u").alias("id")).unionByName(coded.select(F.col("v").alias("id"))).distinct()
     group = components(nodes, coded)
     whole = pairs.join(group, pairs["a_id"] * 2 == group["id"]).select("component", "a_id", "b_id", "d", "weight")
-    return whole.groupBy("component").applyInPandas(_solve, "a_id long, b_id long, d double")
+    return whole.groupBy("component").applyInPandas(_solve, "a_id long, b_id long, d double, dual double")
+
+
+def max_weight(pairs: DataFrame) -> DataFrame:
+    """``a_id, b_id, d`` of a matching of greatest total weight."""
+    return solved(pairs).where(F.col("d").isNotNull()).select("a_id", "b_id", "d")
+
+
+def certificate(pairs: DataFrame, answer: DataFrame) -> DataFrame:
+    """``weight, bound, uncovered, negative, shared``: what proves ``answer`` (of ``solved``) a greatest matching of ``pairs``.
+
+    No matching is heavier than the bound, the sum of the duals, if no edge is uncovered (heavier than the duals of its
+    ends by more than rounding) and none is negative; and no node may be shared by two pairs.
+    """
+    u = answer.where(F.col("d").isNull() & F.col("a_id").isNotNull()).select("a_id", F.col("dual").alias("u"))
+    v = answer.where(F.col("d").isNull() & F.col("b_id").isNotNull()).select("b_id", F.col("dual").alias("v"))
+    taken = answer.where(F.col("d").isNotNull()).select("a_id", "b_id")
+    weight = pairs.join(taken, ["a_id", "b_id"], "left_semi").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    bound = answer.agg(F.coalesce(F.sum("dual"), F.lit(0.0)).alias("bound"), F.count_if(F.col("dual") < 0).alias("negative"))
+    open_ = pairs.join(u, "a_id").join(v, "b_id").agg(F.count_if(F.col("u") + F.col("v") < F.col("weight") * (1 - 1e-9)).alias("uncovered"))
+    ends = taken.agg((F.count(F.lit(1)) * 2 - F.count_distinct("a_id") - F.count_distinct("b_id")).alias("shared"))
+    return weight.crossJoin(F.broadcast(bound)).crossJoin(F.broadcast(open_)).crossJoin(F.broadcast(ends)).select("weight", "bound", "uncovered", "negative", "shared")
 
 
 def prf(counts: DataFrame) -> DataFrame:
@@ -217,52 +279,47 @@ def suppress(points: DataFrame, radius: float, heaviest_first: bool = True, grou
     return points.join(chosen, "id", "left_semi")
 
 
-#: Hues that neighbours are told apart by, and edges from which on hues are left to chance.
-HUES, MANY_EDGES = (0, 25, 40, 60, 80, 100, 140, 160, 180, 200, 220, 240, 260, 280, 300, 330), 1000
-#: Steps back after which a colouring is given up.
-PATIENCE = 10_000
+#: Hues that neighbours are told apart by.
+HUES = (0, 25, 40, 60, 80, 100, 140, 160, 180, 200, 220, 240, 260, 280, 300, 330)
+
+
+def colored(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
+    """``id, color``: whole numbers from 0, the ends of an edge different, at any size.
+
+    Rounds of independent sets: of the nodes without a colour those that come before all such neighbours (in a seeded
+    order, those with more neighbours first) take their least free one. That is what a walk through the whole order gives.
+    """
+    both = edges.select("u", "v").where("u <> v")
+    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    degree = both.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rank = degree.select("id", F.struct("n", F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("i")).alias("rank"))
+    ranked = both.join(rank.select(F.col("id").alias("u"), F.col("rank").alias("ru")), "u").join(rank.select(F.col("id").alias("v"), F.col("rank").alias("rv")), "v")
+    # each node waits for the neighbours before it
+    waits = cut(ranked.where("rv > ru").select("u", "v"))
+    alone = nodes.select("id").distinct().join(waits.select(F.col("u").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("color"))
+    done = cut(alone)
+    live = waits
+    while not live.isEmpty():
+        seen = live.join(done.select(F.col("id").alias("v"), "color"), "v", "left").groupBy("u").agg(F.count_if(F.col("color").isNull()).alias("open"), F.collect_set("color").alias("taken"))
+        least = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), "taken"))
+        new = cut(seen.where("open = 0").select(F.col("u").alias("id"), least.alias("color")))
+        done = cut(done.unionByName(new))
+        live = cut(live.join(new.select(F.col("id").alias("u")), "u", "left_anti"))
+    return done
 
 
 def hues(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
-    """``id, color``: a colour a node, ends of an edge different; from ``MANY_EDGES`` edges on a seeded one of 256 for each node.
+    """``id, color``: a hue a node, ends of an edge different; nodes without an edge have a seeded one.
 
-    The graph that is solved has fewer edges than that, so it fits a task: the node with most colours round it
-    is coloured first, and a colouring that gets stuck goes back.
+    The usual hues come first; where a neighbourhood needs more, the whole degrees between them follow, and then numbers
+    from 360 on, so there is a colouring for every graph.
     """
-    chance = nodes.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(256)).cast("int").alias("color"))
-    pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct().limit(MANY_EDGES).collect()
-    if len(pairs) >= MANY_EDGES:
-        return chance
-    near: dict[int, set[int]] = {}
-    for u, v in pairs:
-        near.setdefault(u, set()).add(v)
-        near.setdefault(v, set()).add(u)
-    color = _colored(near)
-    if color is None:
-        raise ValueError("no colouring found with these hues")
-    solved = nodes.sparkSession.createDataFrame(sorted(color.items()) or [], "id long, solved int")
-    # nodes without an edge may have any
-    return chance.join(F.broadcast(solved), "id", "left").select("id", F.coalesce("solved", "color").alias("color"))
-
-
-def _colored(near: dict[int, set[int]]) -> dict[int, int] | None:
-    color: dict[int, int] = {}
-    around: dict[int, set[int]] = {n: set() for n in near}
-    trail: list[tuple[int, list[int]]] = []
-    back = 0
-    while len(color) < len(near):
-        n = max((x for x in near if x not in color), key=lambda x: (len(around[x]), len(near[x]), -x))
-        trail.append((n, [c for c in HUES if c not in around[n]]))
-        while trail and not trail[-1][1]:
-            trail.pop()
-            back += 1
-            if trail and back < PATIENCE:
-                del color[trail[-1][0]]
-                around = {x: {color[y] for y in near[x] if y in color} for x in near}
-        if not trail or back >= PATIENCE:
-            return None
-        n, left = trail[-1]
-        color[n] = left.pop(0)
-        for x in near[n]:
-            around[x].add(color[n])
-    return color
+    rest = [k for k in range(360) if k not in HUES]
+    number = F.col("color")
+    hue = F.coalesce(F.get(F.lit([*HUES, *rest]), number), number)
+    touched = edges.where("u <> v").select(F.col("u").alias("id")).unionByName(edges.where("u <> v").select(F.col("v").alias("id"))).distinct()
+    chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(256)).cast("int")
+    given = colored(nodes, edges, seed).join(touched.withColumn("on", F.lit(True)), "id", "left")
+    return given.select("id", F.when(F.col("on"), hue).otherwise(chance).cast("int").alias("color"))
+
+

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.functions.numbering import numbered
+from voxelspark.functions.storage import cut
 from voxelspark.operators import dense
 from voxelspark.operators.spatial import AXES, components, distance_join, knn_join
 
@@ -130,30 +132,45 @@ def fit_rigid(pairs: DataFrame, weight: Column | None = None) -> tuple[np.ndarra
 def ransac(pairs: DataFrame, trials: int = 1000, tolerance: float = 3.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Rigid fit of landmark pairs ``id, x, y, z, u, v, w`` that bears with outliers.
 
-    Landmarks are clicked by hand, so they are few and go to every task; trials (three landmarks each, seeded) are rows.
-    The trial with most pairs within the tolerance wins (ties: the first) and its pairs are fitted again.
+    Pairs are numbered; a trial takes three by seeded numbers and is a row, so is its fit. All fits go to all pairs, which
+    count the hits of each where they lie. The trial with most pairs within the tolerance wins (ties: the first) and its
+    pairs are fitted again.
     """
-    spark = pairs.sparkSession
-    data = pairs.select("id", "x", "y", "z", "u", "v", "w").orderBy("id").toPandas().drop_duplicates(subset=["x", "y", "z", "u", "v", "w"])
-    a, b = data[["x", "y", "z"]].to_numpy(float), data[["u", "v", "w"]].to_numpy(float)
-
-    def row(i: np.ndarray) -> dict[str, float]:
-        m = {"total": float(len(i))} | {f"s{c}": float(v) for c, v in zip("xyzuvw", [*a[i].sum(0), *b[i].sum(0)], strict=True)}
-        return m | {f"s{c}{d}": float((a[i, j] * b[i, k]).sum()) for j, c in enumerate("xyz") for k, d in enumerate("uvw")}
+    ends = ("x", "y", "z", "u", "v", "w")
+    data = numbered(pairs.groupBy(*ends).agg(F.min("id").alias("id")), F.col("id"), *[F.col(c) for c in ends], name="place")
+    data = cut(data)
+    n, spark = data.count(), pairs.sparkSession
+    if n < 3:
+        return horn(moments(data).first().asDict())
+    # three different places: each of the later two is drawn from those that are left
+    draw = lambda k, among: F.pmod(F.xxhash64("trial", F.lit(seed), F.lit(k)), F.lit(among))
+    first, second, third = draw(0, n), draw(1, n - 1), draw(2, n - 2)
+    chosen = spark.range(trials).select(F.col("id").alias("trial")).withColumns({"p": first, "q": second, "r": third})
+    chosen = chosen.withColumn("q", F.col("q") + (F.col("q") >= F.col("p")).cast("long"))
+    low, high = F.least("p", "q"), F.greatest("p", "q")
+    chosen = chosen.withColumn("r", F.col("r") + (F.col("r") >= low).cast("long")).withColumn("r", F.col("r") + (F.col("r") >= high).cast("long"))
+    triples = chosen.select("trial", F.explode(F.array("p", "q", "r")).alias("place")).join(data.select("place", *ends), "place")
+    # a row a trial
+    rows = triples.groupBy("trial").agg(F.collect_list(F.struct(*ends)).alias("t")).orderBy("trial").collect()
+    fits = []
+    for row in rows:
+        x = np.array([list(e) for e in row["t"]], float)
+        m = {"total": 3.0} | {f"s{c}": float(v) for c, v in zip("xyzuvw", x.sum(axis=0), strict=True)}
+        fits.append((row["trial"], *horn(m | {f"s{c}{d}": float((x[:, j] * x[:, 3 + k]).sum()) for j, c in enumerate("xyz") for k, d in enumerate("uvw")})))
+    turns, shifts = np.array([f[1] for f in fits]), np.array([f[2] for f in fits])
 
     def run(batches):
+        hits = np.zeros(len(turns), np.int64)
         for batch in batches:
-            n = []
-            for trial in batch["id"]:
-                some = np.random.default_rng([seed, int(trial)]).choice(len(a), min(3, len(a)), replace=False)
-                r, t = horn(row(some))
-                n.append(int((np.sqrt(((a @ r.T + t - b) ** 2).sum(axis=1)) <= tolerance).sum()))
-            yield pd.DataFrame({"trial": batch["id"], "n": n})
-
-    won = spark.range(trials).mapInPandas(run, "trial long, n long").agg(F.max_by("trial", F.struct("n", -F.col("trial"))).alias("t")).first()[0]
-    some = np.random.default_rng([seed, int(won)]).choice(len(a), min(3, len(a)), replace=False)
-    r, t = horn(row(some))
-    return horn(row(np.flatnonzero(np.sqrt(((a @ r.T + t - b) ** 2).sum(axis=1)) <= tolerance)))
+            at, to = batch[["x", "y", "z"]].to_numpy(float), batch[["u", "v", "w"]].to_numpy(float)
+            for k in range(len(turns)):
+                hits[k] += int((np.sqrt(((at @ turns[k].T + shifts[k] - to) ** 2).sum(axis=1)) <= tolerance).sum())
+        yield pd.DataFrame({"k": np.arange(len(turns)), "n": hits})
+
+    won = data.select(*ends).mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).agg(F.max_by("k", F.struct("n", -F.col("k")))).first()[0]
+    r, t = fits[won][1:]
+    off = [sum(float(r[i, j]) * F.col(a) for j, a in enumerate("xyz")) + float(t[i]) - F.col(b) for i, b in enumerate("uvw")]
+    return horn(moments(data.where(F.sqrt(sum(e * e for e in off)) <= tolerance)).first().asDict())
 
 
 def icp(first: DataFrame, second: DataFrame, radius: float, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, DataFrame]:

@@ -39,11 +39,11 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
 
     ``path`` is the file, or a folder that holds one of the usual names.
     """
-    # of a folder only the names that metadata has: its slices may be large
+    # of a folder only the names that metadata has, or those that write_tiles gives: its slices may be large
     named = path.rstrip("/").rsplit("/", 1)[-1]
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(NAMES) + "}" if folder else named).load(path)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join((*NAMES, "part-*.txt")) + "}" if folder else named).load(path)
     by = {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in raw.select("path", "content").collect()}
     if not by:
         raise ValueError(f"no tile metadata in {path}")
