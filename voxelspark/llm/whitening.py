@@ -19,10 +19,13 @@ table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -30,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm.storage import table
+from voxelspark.llm.workers import tidy
 
 COMPONENTS, SCALE, OFFSET = 32, 64, 1_000_000
 #: Singular values below this part of the largest are rounding: they are roots of eigenvalues, which are known to some 1e-14 of the largest.
 RANK = 1e-6
 #: Up to this dimension all components are computed, by a dense solver that is exact to double precision.
 DENSE = 4096
-_LARGEST = float(1 << 62)
+_LARGEST, LARGEST_DECIMAL = float(1 << 62), 10**38
 
 
 @dataclass
@@ -47,7 +51,6 @@ class Whitening:
     sums: list[int]
     basis: np.ndarray
     variances: np.ndarray
-    trace: float
 
 
 def whole(vector: str | Column, scale: int = SCALE, offset: int = OFFSET) -> Column:
@@ -72,13 +75,6 @@ def _matrix(rows: DataFrame, column: Column) -> RowMatrix:
     return RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector(column).alias("v")), "v"))
 
 
-def deviation(sums: list[int], n: int) -> Column:
-    """``sum (n x - S)^2`` of a row, exact; null beyond 38 digits."""
-    of = F.zip_with("x", F.lit(sums) if max(map(abs, sums)) < 1 << 63 else F.array(*[F.lit(str(s)).cast("decimal(38,0)") for s in sums]), lambda a, s: a.cast("decimal(38,0)") * F.lit(n).cast("decimal(38,0)") - s.cast("decimal(38,0)"))
-    square = lambda a: F.try_multiply(a.cast("decimal(38,0)"), a.cast("decimal(38,0)"))
-    return F.aggregate(of, F.lit(0).cast("decimal(38,0)"), lambda a, b: F.try_add(a, square(b)).cast("decimal(38,0)"))
-
-
 def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     """The whitening of ``rows(x array<long>)``, all of one length; None where no component has a variance."""
     entries = rows.select(F.posexplode("x").alias("at", "c")).groupBy("at").agg(F.sum(F.col("c").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
@@ -88,20 +84,36 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     n, sums = found[0]["n"], [int(r["s"]) for r in found]
     d = len(sums)
     solved = _matrix(rows, _centred(sums, n)).computeSVD(d if d <= DENSE else min(components, d), computeU=False, rCond=RANK) if n > 1 else None
-    total = rows.agg(F.sum(deviation(sums, n).cast("double"))).first()[0] or 0.0
-    # equal rows leave no singular value at all; what rounding leaves of one is no component
-    if solved is None or not len(solved.s) or not total:
-        return Whitening(n, sums, np.zeros((d, 0)), np.zeros(0), 0.0)
+    # equal rows leave no singular value
+    if solved is None or not len(solved.s) or not solved.s[0]:
+        return Whitening(n, sums, np.zeros((d, 0)), np.zeros(0))
     variances = np.asarray(solved.s.toArray())[:components] ** 2 / n
-    return Whitening(n, sums, np.asarray(solved.V.toArray())[:, : len(variances)], variances, total / float(n) ** 3)
+    return Whitening(n, sums, np.asarray(solved.V.toArray())[:, : len(variances)], variances)
 
 
 def apply(rows: DataFrame, w: Whitening) -> DataFrame:
-    """``rows`` with ``deviation`` (decimal) and ``whitened``, an array of doubles."""
-    held = rows.withColumn("_centred", F.explode(F.array(_centred(w.sums, w.n))))
-    axes = [F.lit((w.basis[:, k] / np.sqrt(w.variances[k])).tolist()) for k in range(len(w.variances))]
-    dot = lambda axis: F.aggregate(F.zip_with("_centred", axis, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return held.withColumn("deviation", deviation(w.sums, w.n)).withColumn("whitened", F.array(*[dot(a) for a in axes]).cast("array<double>")).drop("_centred")
+    """``id, deviation, spread, whitened`` of ``rows(id, x)``: ``sum (n x - S)^2`` as a decimal(38, 0), exact, and as a double, and the row's components."""
+    axes, kind = w.basis / np.sqrt(w.variances), rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.array(w.sums, object)
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(object)
+            # whole numbers of any size
+            off = w.n * x - sums
+            deviation = (off * off).sum(axis=1).tolist() if batch.num_rows else []
+            whitened = (off.astype(float) / w.n) @ axes
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([Decimal(v) if v < LARGEST_DECIMAL else None for v in deviation], pa.decimal128(38, 0)),
+                    pa.array([float(v) for v in deviation], pa.float64()),
+                    pa.ListArray.from_arrays(np.arange(0, whitened.size + 1, axes.shape[1], dtype=np.int32), pa.array(whitened.reshape(-1))),
+                ],
+                names=["id", "deviation", "spread", "whitened"],
+            )
+
+    return rows.select("id", "x").mapInArrow(tidy(run), f"id {kind}, deviation decimal(38,0), spread double, whitened array<double>")
 
 
 def identity_error(rows: DataFrame, n: int, k: int) -> float:
@@ -124,10 +136,11 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         w = fit(rows, components)
         if not len(w.variances):
             continue
-        done = table(apply(rows, w).select("id", "deviation", "whitened"), "whitened")
+        done = table(apply(rows, w), "whitened")
+        trace = done.agg(F.sum("spread")).first()[0] / float(w.n) ** 3
         wrong = identity_error(done, w.n, len(w.variances))
         each = done.select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
-        explained = F.get(F.lit((w.variances / w.trace).tolist()), F.col("at"))
+        explained = F.get(F.lit((w.variances / trace).tolist()), F.col("at"))
         out.append(each.select(F.col("id").alias(id_col), (F.col("at") + 1).alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(wrong).alias("identity_error")))
     if not out:
         kind = vectors.schema[id_col].dataType.simpleString()
