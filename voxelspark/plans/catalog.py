@@ -203,13 +203,14 @@ def intensity_scaled(spark, d):
     return _voxels(spark, d).select(*AXES, (F.floor(F.col("intensity") / 25).cast("int") * 10).alias("decile_bin"), F.round(F.col("intensity") / F.lit(255.0), 6).alias("scaled"))
 
 
-@query(
-    "SELECT round(quantile_cont(intensity, 0.1), 6) AS p10, round(quantile_cont(intensity, 0.5), 6) AS p50, round(quantile_cont(intensity, 0.9), 6) AS p90 FROM voxels",
-    ("voxels",),
-)
+DECILES = tuple(range(10, 100, 10))
+
+
+@query("SELECT " + ", ".join(f"round(quantile_cont(intensity, {p / 100}), 6) AS p{p}" for p in DECILES) + " FROM voxels", ("voxels",))
 def percentiles(spark, d):
-    p = F.percentile("intensity", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return _voxels(spark, d).agg(p.alias("p")).select(*[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p10", "p50", "p90"))])
+    """The deciles of a volume's intensities."""
+    p = F.percentile("intensity", F.array(*[F.lit(p / 100) for p in DECILES]))
+    return _voxels(spark, d).agg(p.alias("p")).select(*[F.round(F.col("p")[k], 6).alias(f"p{n}") for k, n in enumerate(DECILES)])
 
 
 @query("SELECT x, y, z, round((intensity - avg(intensity) OVER ()) / stddev_samp(intensity) OVER (), 6) AS value FROM voxels", ("voxels",))
