@@ -79,7 +79,7 @@ def weighted_shares(spark, d):
 def cluster_volume_mass(spark, d):
     """Points within reach belong to the centre nearest to them."""
     p = _pred(spark, d)
-    own = spatial.knn_join(p, _true(spark, d), 1, 12.0).where("d <= 12").select(F.col("a_id").alias("id"), F.col("b_id").alias("c"))
+    own = spatial.knn_join(p, _true(spark, d), 1, 12.0, within=12.0).select(F.col("a_id").alias("id"), F.col("b_id").alias("c"))
     return p.join(own, "id").groupBy(F.col("c").alias("id")).agg(F.count(F.lit(1)).alias("volume"), F.round(F.sum("mass"), 4).alias("mass"))
 
 
