@@ -38,3 +38,33 @@ def test_nearest_within_a_reach(spark):
     got = sorted((r.a_id, r.b_id) for r in spatial.knn_join(_points(spark, a), _points(spark, b), 1, 2.0, within=12.0).collect())
     d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
     assert got == [(i, int(np.argmin(d[i]))) for i in range(50) if d[i].min() <= 12]
+
+
+def test_equal_values_of_many_tasks_have_no_deviation(spark):
+    """The means that tasks put together differ in their last digit; a position where all values are equal stays null."""
+    # 1 / 49 * 49 is below 1
+    kinds = F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), (F.lit(1) + F.when(F.col("id") % 4 == 0, p).otherwise(0)).alias("v")) for p in (0, 1)]))
+    values = spark.range(0, 49 * 8, 1, 8).select("id", kinds.alias("e")).select("id", "e.pos", "e.v")
+    got = learning.standardized(values, "pos", "v").groupBy("pos").agg(F.count("value").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high")).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(0, 0, None, None), (1, 392, -0.57735, 1.732051)]
+
+
+def test_distance_join_never_broadcasts(spark):
+    p = _points(spark, _cloud(100, 20))
+    plan = spatial.distance_join(p, p, 3.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_regression_meets_places_not_points(spark, monkeypatch):
+    """Points over one place of the plane are one row of the join; values as by least squares over all others."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 6, (200, 2)) * 7.0, rng.integers(0, 50, 200) + 1e6])
+    met, join = [], shape.distance_join
+    monkeypatch.setattr(shape, "distance_join", lambda left, right, *a, **k: met.append(left.count()) or join(left, right, *a, **k))
+    got = {r.id: (r.n, r.z) for r in shape.local_plane(_points(spark, x), 10.0).collect()}
+    assert met == [len(np.unique(x[:, :2], axis=0))]
+    for i in range(len(x)):
+        w = np.exp(-((x[:, :2] - x[i, :2]) ** 2).sum(axis=1) / 100)
+        w[i] = 0
+        fit = shape._local_fit(x[:, :2], x, x[i, :2], w, 1e-4)
+        assert got[i][0] == (w > 1e-4).sum() and abs(got[i][1] - fit[2]) < 1e-5

@@ -26,6 +26,20 @@ def standardizer(patches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.m for r in rows]), np.array([r.s or 1.0 for r in rows])
 
 
+def standardized(values: DataFrame, key: str, value: str) -> DataFrame:
+    """``values`` (whole numbers) with ``value`` as it stands in the deviations of its ``key``; null where all values of a key are equal.
+
+    The variance comes from exact sums: that of equal values is 0 however many tasks share them, which deviations that are
+    put together task by task don't give.
+    """
+    v, wide = F.col(value), lambda c: F.sum(c).cast("decimal(38,0)")
+    sums = values.groupBy(F.col(key).alias("_key")).agg(F.count(v).cast("decimal(19,0)").alias("n"), wide(v.cast("long")).alias("s"), wide(v.cast("long") * v.cast("long")).alias("q"))
+    spread = (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double")
+    stats = sums.select("_key", (F.col("s").cast("double") / F.col("n").cast("double")).alias("_m"), F.nullif(F.sqrt(spread) / F.col("n").cast("double"), F.lit(0.0)).alias("_s"))
+    placed = values.join(stats, F.col(key).eqNullSafe(F.col("_key")))
+    return placed.select(*[c for c in values.columns if c != value], ((v - F.col("_m")) / F.col("_s")).alias("value"))
+
+
 def predict(patches: DataFrame, predictor: Predictor, mean: np.ndarray | None = None, std: np.ndarray | None = None) -> DataFrame:
     """``id, patch`` predicted batch by batch (every row, the last ones of a partition too)."""
 
