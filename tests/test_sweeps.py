@@ -128,3 +128,34 @@ def test_balance(spark):
     n = got.groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in n} == {0: 43, 1: 43}
     assert sorted(got.collect(), key=str) == sorted(learning.balanced(df, seed=3).collect(), key=str)
+
+
+def _walk(pairs, threshold):
+    """The greedy walk over ``(a, b, d, v)`` with ``v`` above the threshold."""
+    a_used, b_used, out = set(), set(), set()
+    for a, b, d, v in sorted(pairs, key=lambda p: (p[2], p[0], p[1])):
+        if v > threshold and a not in a_used and b not in b_used:
+            a_used.add(a), b_used.add(b), out.add((a, b))
+    return out
+
+
+def test_one_walk_for_all_thresholds(spark, monkeypatch):
+    """Pairs picked at every threshold of one large component, with ties of distances and of values; pairs are never matched a threshold each."""
+    r = np.random.default_rng(11)
+    v = r.integers(0, 40, 60).astype(float)
+    pairs = [(int(a), int(b), float(r.integers(1, 12)), float(v[b])) for a, b in {tuple(p) for p in r.integers(0, 60, (500, 2)).tolist()}]
+    sizes, cut = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: (lambda out: sizes.append(out.count()) or out)(cut(df)))
+    got = matching.lifetimes(spark.createDataFrame(pairs, "a_id long, b_id long, d double, v double")).collect()
+    for t in [float("-inf"), *np.unique(v)]:
+        assert {(g.a_id, g.b_id) for g in got if g.since <= t < g.until} == _walk(pairs, t)
+    assert max(sizes) <= len(pairs)
+
+
+def test_sweep_with_ids_that_repeat(spark):
+    """An id with two attributes is one end of a match, at each threshold for the rows above it."""
+    at = lambda k: (100.0 + 3 * k, 100.0, 100.0)
+    true = spark.createDataFrame([(k, *at(k)) for k in range(4)], "id long, x double, y double, z double")
+    pred = spark.createDataFrame([(0, *at(0), 5.0), (0, *at(1), 9.0), (2, *at(2), 7.0)], "id long, x double, y double, z double, v double")
+    got = {p.value: p.tp for p in matching.pr_sweep(true, pred, "v", (400, 400, 400), 10, 4.0, more_than=-1).collect()}
+    assert got == {5.0: 2, 7.0: 1, 9.0: 0}
