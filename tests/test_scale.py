@@ -68,3 +68,32 @@ def test_regression_meets_places_not_points(spark, monkeypatch):
         w[i] = 0
         fit = shape._local_fit(x[:, :2], x, x[i, :2], w, 1e-4)
         assert got[i][0] == (w > 1e-4).sum() and abs(got[i][1] - fit[2]) < 1e-5
+
+
+def test_sites_are_merged_axis_by_axis(spark, small):
+    """No step carries on a marker's sites that others have as well: distinct places go from axis to axis."""
+    from voxelspark.plans import catalog
+
+    plan = catalog.QUERIES["positive_sites"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 4 and plan.count("Generate explode") == 3
+
+
+@pytest.mark.parametrize("side, lattice", [(12.0, 8_000_000), (12.0, 10), (1000.0, 8_000_000)])
+def test_ball_sums_without_pairs(spark, monkeypatch, side, lattice):
+    """Sums over balls as by brute force, with ends at the radius, copies, ids that repeat, places off the lattice; no row a pair is made."""
+    monkeypatch.setattr(spatial, "LATTICE", lattice)
+    r = np.random.default_rng(12)
+    p = r.integers(0, 30, (1500, 3)).astype(float)
+    p[:30] = p[0]
+    w = r.integers(1, 2000, len(p)) / 100
+    c = np.concatenate([p[:200] + r.integers(-2, 3, (200, 3)) * np.array([0.5, 0.5, 1.25]), r.random((100, 3)) * 40 - 5, [[900.0, 0.0, 0.0]]])
+    joined = []
+    monkeypatch.setattr(spatial, "distance_join", lambda *a, **k: joined.append(a))
+    points = spark.createDataFrame([(*map(float, x), float(v)) for x, v in zip(p, w, strict=True)] + [(None, 1.0, 1.0, 1.0)], "x double, y double, z double, w double")
+    centres = spark.createDataFrame([(k // 2, *map(float, x)) for k, x in enumerate(c)] + [(999, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    got = {(g.id, g.x, g.y, g.z): (g.n, g.s) for g in spatial.ball_sums(centres, points, 5.0, {"s": F.col("w")}, side=side).collect()}
+    near = np.sqrt(((c[:, None] - p[None]) ** 2).sum(axis=2)) <= 5
+    assert not joined and len(got) == len({(k // 2, *x) for k, x in enumerate(c.tolist())}) + 1 and got[999, None, 1.0, 1.0] == (0, 0.0)
+    for k, x in enumerate(c.tolist()):
+        n, s = got[(k // 2, *x)]
+        assert n == near[k].sum() and s == pytest.approx(w[near[k]].sum(), abs=1e-8)
