@@ -97,3 +97,18 @@ def test_ball_sums_without_pairs(spark, monkeypatch, side, lattice):
     for k, x in enumerate(c.tolist()):
         n, s = got[(k // 2, *x)]
         assert n == near[k].sum() and s == pytest.approx(w[near[k]].sum(), abs=1e-8)
+
+
+@pytest.mark.parametrize("whole, side", [(True, 9.0), (True, 66.0), (False, 9.0)])
+def test_shells_without_pairs(spark, monkeypatch, whole, side):
+    """Pairs by distance as by brute force, with copies, ids that repeat and distances at the ends of bins; no row a pair is made."""
+    x = _cloud(900, 25, 13, 20) + (0 if whole else np.random.default_rng(1).integers(0, 2, (900, 3)) * 0.5) - 7
+    joined = []
+    monkeypatch.setattr(spatial, "distance_join", lambda *a, **k: joined.append(a))
+    ids = np.arange(len(x))
+    ids[-40:] = ids[:40]
+    points = spark.createDataFrame([(int(i), *map(float, p)) for i, p in zip(ids, x, strict=True)] + [(None, 1.0, 1.0, 1.0), (5, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    got = {g.bin: g.n for g in spatial.shell_counts(points, 3.0, 6.5, 0.5, side=side).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))[ids[:, None] < ids[None]]
+    bins, n = np.unique(np.floor((d[(d >= 3) & (d < 6.5)] - 3) / 0.5).astype(int), return_counts=True)
+    assert not joined and got == dict(zip(bins.tolist(), n.tolist(), strict=True))
