@@ -82,6 +82,52 @@ class Cells:
         return found[((self.points[found] - at) ** 2).sum(axis=1) <= self.radius**2]
 
 
+class Crowd:
+    """Points in cells half a radius wide; sums of their ``values`` (a row a point) are taken for all places of a cell at once."""
+
+    def __init__(self, points: np.ndarray, values: np.ndarray, radius: float, pairs: int = 1 << 18):
+        # a little wider, so that what is within the radius is never three cells away
+        self.radius, self.side, self.pairs = radius, radius / 2 * (1 + 1e-9), pairs
+        cell = np.floor(points / self.side).astype(np.int64)
+        self.low = cell.min(axis=0)
+        self.size = cell.max(axis=0) - self.low + 1
+        code = np.ravel_multi_index(tuple((cell - self.low).T), tuple(self.size))
+        order = np.argsort(code, kind="stable")
+        self.points, self.values, self.code, self.held = np.ascontiguousarray(points[order].T), values[order], code[order], {}
+
+    def _near(self, cell: tuple) -> np.ndarray:
+        """The points of the cells up to two away, which follow each other along the last axis."""
+        if cell not in self.held:
+            first, last = np.maximum(np.array(cell) - 2, 0), np.minimum(np.array(cell) + 2, self.size - 1)
+            line = (np.arange(first[0], last[0] + 1)[:, None] * self.size[1] + np.arange(first[1], last[1] + 1)).ravel() * self.size[2]
+            ends = zip(np.searchsorted(self.code, line + first[2], "left").tolist(), np.searchsorted(self.code, line + last[2], "right").tolist(), strict=True)
+            self.held[cell] = np.concatenate([np.zeros(0, np.int64), *[np.arange(i, j) for i, j in ends if i < j]])
+        return self.held[cell]
+
+    def sums(self, at: np.ndarray) -> np.ndarray:
+        """Sums over the points within the radius of each place, ends included."""
+        out = np.zeros((len(at), self.values.shape[1]))
+        cell = np.floor(at / self.side).astype(np.int64) - self.low
+        order = np.lexsort(cell.T)
+        starts = np.flatnonzero(np.append(True, (np.diff(cell[order], axis=0) != 0).any(axis=1)))
+        for s, e in zip(starts, [*starts[1:], len(at)], strict=True):
+            near = self._near(tuple(cell[order[s]].tolist()))
+            if not len(near):
+                continue
+            points, values = self.points[:, near], self.values[near]
+            step = max(1, self.pairs // len(near))
+            for k in range(s, e, step):
+                some = order[k : min(e, k + step)]
+                d = np.subtract.outer(at[some, 0], points[0])
+                d *= d
+                for axis in (1, 2):
+                    gap = np.subtract.outer(at[some, axis], points[axis])
+                    gap *= gap
+                    d += gap
+                out[some] = (d <= self.radius**2).astype(float) @ values
+        return out
+
+
 def climb(cells: Cells, weight: np.ndarray, seed: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, int, float] | None:
     """(where a seed comes to rest, points and summed weight of the ball its last step looked at); None if there is nothing in reach.
 
