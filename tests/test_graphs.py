@@ -58,6 +58,27 @@ def test_one_component_of_many_nodes():
     assert total == pytest.approx(u.sum() + v.sum())
 
 
+@pytest.mark.parametrize("more", ["first", "second"])
+def test_matching_by_blocks_is_the_heaviest(spark, monkeypatch, more):
+    """Points on whole numbers, so many weights tie; searches leave the small blocks. No pairs are listed, so no component is one task."""
+    r = np.random.default_rng(12)
+    cloud = lambda n: spark.createDataFrame([(k - 5, *map(float, x)) for k, x in enumerate(r.integers(0, 60, (n, 3)))], "id long, x double, y double, z double")
+    few, many = cloud(500), cloud(650).unionByName(spark.createDataFrame([(9000, 500.0, 0.0, 0.0), (9001, None, 0.0, 0.0)], "id long, x double, y double, z double"))
+    a, b = (many, few) if more == "first" else (few, many)
+    pairs = matching.candidates(a, b, 14.0)
+    want = matching.certificate(pairs, matching.solved(pairs)).first()
+    rounds, cut = [], matching.cut
+    with monkeypatch.context() as m:
+        m.setattr(matching, "cut", lambda df: rounds.append(1) or cut(df))
+        m.setattr(matching, "candidates", None)
+        found = matching.solved_near(a, b, 14.0, share=20)
+    proof = matching.certificate(pairs, found).first()
+    assert len(rounds) > 3
+    assert proof.weight == pytest.approx(want.weight) == pytest.approx(proof.bound)
+    assert (proof.uncovered, proof.negative, proof.shared) == (0, 0, 0)
+    assert matching.max_weight_near(a, b, 14.0).join(pairs, ["a_id", "b_id", "d"], "left_anti").isEmpty() and matching.max_weight_near(a.limit(0), b, 14.0).isEmpty()
+
+
 @pytest.mark.parametrize("n", [998, 1001])
 def test_colours_at_any_size(spark, n):
     path = spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
