@@ -79,6 +79,15 @@ def test_matching_by_blocks_is_the_heaviest(spark, monkeypatch, more):
     assert matching.max_weight_near(a, b, 14.0).join(pairs, ["a_id", "b_id", "d"], "left_anti").isEmpty() and matching.max_weight_near(a.limit(0), b, 14.0).isEmpty()
 
 
+def test_scores_by_weight_list_no_pairs(spark, monkeypatch):
+    """Two rows and two columns of which the nearest pair isn't in the heaviest matching; no candidates are made."""
+    cloud = lambda rows: spark.createDataFrame([(k, float(x), 50.0, 50.0) for k, x in rows], "id long, x double, y double, z double")
+    a, b = cloud([(1, 50.0), (2, 52.1)]), cloud([(1, 51.0), (2, 48.9)])
+    monkeypatch.setattr(matching, "candidates", None)
+    counts, listed = matching.evaluate(a, b, (100, 100, 100), 10, 8.0)
+    assert (lambda r: (r.tp, r.fp, r.fn))(counts.first()) == (2, 0, 0) and listed.count() == 2
+
+
 @pytest.mark.parametrize("n", [998, 1001])
 def test_colours_at_any_size(spark, n):
     path = spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
