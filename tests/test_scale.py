@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelspark.operators import learning, matching, shape, spatial
+from voxelspark.plans import catalog
 
 
 def _cloud(n, side, seed=1, copies=0):
@@ -112,3 +113,19 @@ def test_shells_without_pairs(spark, monkeypatch, whole, side):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))[ids[:, None] < ids[None]]
     bins, n = np.unique(np.floor((d[(d >= 3) & (d < 6.5)] - 3) / 0.5).astype(int), return_counts=True)
     assert not joined and got == dict(zip(bins.tolist(), n.tolist(), strict=True))
+
+
+def test_pairs_by_blocks(spark, small):
+    """All pairs of different ids, both ways round, from blocks: no row meets a row in a join, and halves are rounded as SQL does."""
+    r = np.random.default_rng(21)
+    x = np.concatenate([r.integers(-40, 40, (300, 3)).astype(float), r.uniform(-40, 40, (100, 3))])
+    rows = [(k - 7, *map(float, p)) for k, p in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[3], (rows[5][0], 1.0, 1.0, 1.0), (900, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    have = [*rows, rows[3], (rows[5][0], 1.0, 1.0, 1.0)]
+    at = np.array([p[1:] for p in have])
+    gap = at[:, None] - at[None]
+    d = np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2)
+    want = sorted((have[i][0], have[j][0], float(d[i, j])) for i, j in np.argwhere(d < 13) if have[i][0] != have[j][0])
+    assert sorted(tuple(p) for p in spatial.near_pairs(df, 13.0).collect()) == want
+    assert spatial.half_up(np.array([0.0000005, 0.1234565, 1.0000015, -0.0000005, 2.5e-7]), 6).tolist() == [1e-6, 0.123457, 1.000002, -1e-6, 0.0]
+    assert "Join" not in catalog.QUERIES["gaussian_kernel"](spark, small)._jdf.queryExecution().toString()
