@@ -129,3 +129,19 @@ def test_pairs_by_blocks(spark, small):
     assert sorted(tuple(p) for p in spatial.near_pairs(df, 13.0).collect()) == want
     assert spatial.half_up(np.array([0.0000005, 0.1234565, 1.0000015, -0.0000005, 2.5e-7]), 6).tolist() == [1e-6, 0.123457, 1.000002, -1e-6, 0.0]
     assert "Join" not in catalog.QUERIES["gaussian_kernel"](spark, small)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("side", [None, 9.0])
+def test_greedy_by_blocks_is_the_sequential_walk(spark, monkeypatch, side):
+    """Whole coordinates make many ties; small blocks leave much unsure at first. No list of all pairs is made."""
+    a, b = _cloud(700, 30, 31), _cloud(600, 30, 32) - 0.5
+    gap = a[:, None] - b[None]
+    d = np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2)
+    want, used_a, used_b = set(), set(), set()
+    for v, i, j in sorted((d[i, j], i, j) for i, j in np.argwhere(d < 4)):
+        if i not in used_a and j not in used_b:
+            want.add((int(i), int(j), float(v)))
+            used_a.add(i)
+            used_b.add(j)
+    monkeypatch.setattr(matching, "distance_join", None)
+    assert {tuple(r) for r in matching.greedy_near(_points(spark, a), _points(spark, b), 4.0, side).collect()} == want

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions.numbering import running
 from voxelspark.functions.storage import cut
-from voxelspark.operators.spatial import components, distance_join
+from voxelspark.operators.spatial import components, distance_join, met
 from voxelspark.operators.tiling import inside
 
 
@@ -42,6 +42,84 @@ def greedy(pairs: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     return out if out is not None else live
 
 
+def _walk(a: np.ndarray, b: np.ndarray, seen_a: np.ndarray, seen_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs in order those that the walk surely picks, and those it may pick, if pairs of ends that aren't ``seen`` are unknown.
+
+    A pair that is the first of all left at both ends is picked if both are seen; if one isn't, the other is unsure from then on too.
+    """
+    sure, picked, open_ = [seen_a.copy(), seen_b.copy()], [], []
+    taken = [np.zeros(len(seen_a), bool), np.zeros(len(seen_b), bool)]
+    live = np.arange(len(a))
+    while len(live):
+        first = []
+        for end, n in ((a[live], len(seen_a)), (b[live], len(seen_b))):
+            at = np.zeros(n, np.int64)
+            # the last one written is the first in order
+            at[end[::-1]] = np.arange(len(live))[::-1]
+            first.append(at[end] == np.arange(len(live)))
+        both = first[0] & first[1]
+        i, j = a[live[both]], b[live[both]]
+        certain = sure[0][i] & sure[1][j]
+        picked.append(live[both][certain])
+        open_.append(live[both][~certain])
+        taken[0][i[certain]], taken[1][j[certain]] = True, True
+        sure[0][i[~certain]], sure[1][j[~certain]] = False, False
+        live = live[~both]
+        live = live[~taken[0][a[live]] & ~taken[1][b[live]]]
+    return np.concatenate([np.zeros(0, np.int64), *picked]), np.concatenate([np.zeros(0, np.int64), *open_])
+
+
+def greedy_near(first: DataFrame, second: DataFrame, radius: float, side: float | None = None) -> DataFrame:
+    """``a_id, b_id, d``: what ``greedy`` picks of all pairs of two lists of ``id, x, y, z`` closer than the radius, without listing them.
+
+    Blocks of the volume with what lies three radii round them go to tasks, which walk as far as is sure from what they
+    see. Pairs left unsure, few and near the blocks' faces, are walked in rounds.
+    """
+    rows = [df.dropna(subset=["id", *AXES]).select(F.lit(k).alias("side"), F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in AXES]) for k, df in enumerate((first, second))]
+    both = cut(rows[0].unionByName(rows[1]))
+    n, most = both.groupBy("side", "id").count().agg(F.sum("count"), F.max("count")).first()
+    if (most or 0) > 1:
+        return greedy(distance_join(first, second, radius).select("a_id", "b_id", "d"))
+    side, halo, keys = side or 16 * radius, 3 * radius, [f"_b{a}" for a in AXES]
+    block = lambda c: F.floor(c / side).cast("long")
+    around = both
+    for k, a in zip(keys, AXES, strict=True):
+        around = around.withColumn(k, F.explode(F.sequence(block(F.col(a) - halo), block(F.col(a) + halo))))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        start = p[keys].iloc[0].to_numpy(float) * side
+        ids, at, which = p["id"].to_numpy(np.int64), p[list(AXES)].to_numpy(float), p["side"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, at, which = ids[order], at[order], which[order]
+        own = (np.floor(at / side) * side == start).all(axis=1)
+        # all pairs of these are here
+        inner = (halo - radius) * (1 - 1e-9)
+        seen = ((at >= start - inner) & (at <= start + side + inner)).all(axis=1)
+        (ia, ib), found = (np.flatnonzero(which == k) for k in (0, 1)), []
+        if len(ib) and own[ia].any():
+            found = list(met(at[ia], at[ib], radius))
+        if not found:
+            return pd.DataFrame({"a_id": [], "b_id": [], "d": [], "won": []}).astype({"a_id": "int64", "b_id": "int64", "d": float, "won": bool})
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        # places are in the order of ids
+        order = np.lexsort((j, i, d))
+        i, j, d = i[order], j[order], d[order]
+        won, open_ = _walk(i, j, seen[ia], seen[ib])
+        some = np.concatenate([won, open_])
+        out = pd.DataFrame({"a_id": ids[ia][i[some]], "b_id": ids[ib][j[some]], "d": d[some], "won": np.arange(len(some)) < len(won)})
+        return out[own[ia][i[some]]]
+
+    # small by their bytes, so their number is given
+    parts = max(2 * int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n or 0) // 20_000)
+    found = cut(around.repartition(parts, *keys).groupBy(*keys).applyInPandas(run, "a_id long, b_id long, d double, won boolean"))
+    won, rest = found.where("won").drop("won"), found.where("NOT won").drop("won")
+    if rest.isEmpty():
+        return won
+    for end in ("a_id", "b_id"):
+        rest = rest.join(won.select(end).hint("shuffle_hash"), end, "left_anti")
+    return won.unionByName(greedy(rest.select("a_id", "b_id", "d")))
+
+
 class _Sparse:
     """Maximum-weight matching of a bipartite graph on adjacency lists, by shortest alternating paths with duals.
 
@@ -371,7 +449,7 @@ def evaluate(true: DataFrame, pred: DataFrame, size: tuple[int, int, int], margi
     if by_weight:
         matches = max_weight_near(true, live, 2 * diameter).where(F.col("d") < diameter / 2)
     else:
-        matches = greedy(distance_join(true, live, diameter / 2).select("a_id", "b_id", "d"))
+        matches = greedy_near(true, live, diameter / 2)
     listed = classify(true, live, cut(matches)).unionByName(pred.where(rejected).select(F.lit("REJ").alias("kind"), "id", "x", "y", "z")).where(inside(size, margin))
     counts = listed.agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("TP", "FP", "FN")])
     return prf(counts), listed
