@@ -145,3 +145,13 @@ def test_greedy_by_blocks_is_the_sequential_walk(spark, monkeypatch, side):
             used_b.add(j)
     monkeypatch.setattr(matching, "distance_join", None)
     assert {tuple(r) for r in matching.greedy_near(_points(spark, a), _points(spark, b), 4.0, side).collect()} == want
+
+
+def test_patches_by_blocks_are_those_of_the_rounds(spark, monkeypatch):
+    """Bit for bit the distances of the frontier rounds, which aren't run; a point without coordinates is its own patch."""
+    p = _points(spark, _cloud(300, 60, 41)).unionByName(spark.createDataFrame([(900, None, 1.0, 1.0)], "id long, x double, y double, z double"))
+    edges = shape.knn_edges(p.where("x IS NOT NULL"), 4, 16.0).localCheckpoint()
+    want = {tuple(r) for r in shape.geodesic_patches(edges, p.select("id"), 25.0).collect()}
+    monkeypatch.setattr(shape, "geodesic_patches", None)
+    got = shape.geodesic_near(p, edges, 25.0).collect()
+    assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == want
