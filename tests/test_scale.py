@@ -155,3 +155,17 @@ def test_patches_by_blocks_are_those_of_the_rounds(spark, monkeypatch):
     monkeypatch.setattr(shape, "geodesic_patches", None)
     got = shape.geodesic_near(p, edges, 25.0).collect()
     assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == want
+
+
+def test_candidates_by_blocks(spark, small):
+    """Pairs of two lists from blocks, whatever their ids: no row meets a row in a join."""
+    r = np.random.default_rng(22)
+    make = lambda n, k: [(int(i), *map(float, p)) for i, p in zip(r.integers(0, k, n), r.integers(-40, 40, (n, 3)) / 2, strict=True)]
+    a, b = make(300, 500), make(400, 200)
+    df = lambda rows: spark.createDataFrame([*rows, (900, None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)], "id long, x double, y double, z double")
+    at, to = (np.array([p[1:] for p in rows]) for rows in (a, b))
+    gap = at[:, None] - to[None]
+    d = np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2)
+    want = sorted((a[i][0], b[j][0], float(d[i, j])) for i, j in np.argwhere(d < 9))
+    assert sorted(tuple(p)[:3] for p in matching.candidates(df(a), df(b), 9.0).collect()) == want
+    assert "Join" not in catalog.QUERIES["match_candidates"](spark, small)._jdf.queryExecution().toString()
