@@ -169,3 +169,24 @@ def test_candidates_by_blocks(spark, small):
     want = sorted((a[i][0], b[j][0], float(d[i, j])) for i, j in np.argwhere(d < 9))
     assert sorted(tuple(p)[:3] for p in matching.candidates(df(a), df(b), 9.0).collect()) == want
     assert "Join" not in catalog.QUERIES["match_candidates"](spark, small)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("side", [None, 9.0, 5.0])
+def test_greedy_with_ids_that_repeat(spark, monkeypatch, side):
+    """Rows of one id are one end wherever they lie; no list of all pairs is made, and a crowd is walked by stages."""
+    monkeypatch.setattr(matching, "distance_join", None)
+    monkeypatch.setattr(matching, "WHOLE", 100)
+    a, b = _cloud(900, 20, 51), _cloud(900, 20, 52) - 0.5
+    r = np.random.default_rng(53)
+    ia, ib = r.permutation(900), r.integers(0, 700, 900)
+    gap = a[:, None] - b[None]
+    d = np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2)
+    want, used_a, used_b = set(), set(), set()
+    for v, i, j in sorted((d[i, j], ia[i], ib[j]) for i, j in np.argwhere(d < 4)):
+        if i not in used_a and j not in used_b:
+            want.add((int(i), int(j), float(v)))
+            used_a.add(i)
+            used_b.add(j)
+    df = lambda ids, x: spark.createDataFrame([(int(i), *map(float, p)) for i, p in zip(ids, x, strict=True)], "id long, x double, y double, z double")
+    got = [tuple(r) for r in matching.greedy_near(df(ia, a), df(ib, b), 4.0, side).collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -69,55 +69,103 @@ def _walk(a: np.ndarray, b: np.ndarray, seen_a: np.ndarray, seen_b: np.ndarray)
     return np.concatenate([np.zeros(0, np.int64), *picked]), np.concatenate([np.zeros(0, np.int64), *open_])
 
 
+#: Rows that one task walks over at once; pairs a point has, about, in a stage of the walk.
+WHOLE, EACH = 20_000, 8
+
+
 def greedy_near(first: DataFrame, second: DataFrame, radius: float, side: float | None = None) -> DataFrame:
     """``a_id, b_id, d``: what ``greedy`` picks of all pairs of two lists of ``id, x, y, z`` closer than the radius, without listing them.
 
-    Blocks of the volume with what lies three radii round them go to tasks, which walk as far as is sure from what they
-    see. Pairs left unsure, few and near the blocks' faces, are walked in rounds.
+    Nearer pairs come first, so the walk goes by stages: all pairs under a radius at which a point has a few, then, of the
+    points that are left, those under a wider one. In a stage blocks of the volume with what lies three radii round them go
+    to tasks, which walk as far as is sure from what they see; points with live pairs go on in other blocks. Rows that share
+    an id are one end, of which no block but the last sees all: such a pair is picked once it is the first of all at both ends.
     """
     rows = [df.dropna(subset=["id", *AXES]).select(F.lit(k).alias("side"), F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in AXES]) for k, df in enumerate((first, second))]
     both = cut(rows[0].unionByName(rows[1]))
-    n, most = both.groupBy("side", "id").count().agg(F.sum("count"), F.max("count")).first()
-    if (most or 0) > 1:
-        return greedy(distance_join(first, second, radius).select("a_id", "b_id", "d"))
-    side, halo, keys = side or 16 * radius, 3 * radius, [f"_b{a}" for a in AXES]
-    block = lambda c: F.floor(c / side).cast("long")
-    around = both
-    for k, a in zip(keys, AXES, strict=True):
-        around = around.withColumn(k, F.explode(F.sequence(block(F.col(a) - halo), block(F.col(a) + halo))))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        start = p[keys].iloc[0].to_numpy(float) * side
-        ids, at, which = p["id"].to_numpy(np.int64), p[list(AXES)].to_numpy(float), p["side"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, at, which = ids[order], at[order], which[order]
-        own = (np.floor(at / side) * side == start).all(axis=1)
+    several = both.groupBy("side", "id").count().where("count > 1").select("side", "id", F.lit(True).alias("several"))
+    left = cut(both.join(several.hint("shuffle_hash"), ["side", "id"], "left").fillna(False, ["several"]))
+    keys, shown = [f"_b{a}" for a in AXES], ["side", "id", *AXES, "several"]
+    schema = "won boolean, side int, id long, x double, y double, z double, several boolean, a_id long, b_id long, d double"
+    least = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def stage(reach: float, wide: float, shift: float, whole: bool):
+        halo = 3 * reach
         # all pairs of these are here
-        inner = (halo - radius) * (1 - 1e-9)
-        seen = ((at >= start - inner) & (at <= start + side + inner)).all(axis=1)
-        (ia, ib), found = (np.flatnonzero(which == k) for k in (0, 1)), []
-        if len(ib) and own[ia].any():
-            found = list(met(at[ia], at[ib], radius))
-        if not found:
-            return pd.DataFrame({"a_id": [], "b_id": [], "d": [], "won": []}).astype({"a_id": "int64", "b_id": "int64", "d": float, "won": bool})
-        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
-        # places are in the order of ids
-        order = np.lexsort((j, i, d))
-        i, j, d = i[order], j[order], d[order]
-        won, open_ = _walk(i, j, seen[ia], seen[ib])
-        some = np.concatenate([won, open_])
-        out = pd.DataFrame({"a_id": ids[ia][i[some]], "b_id": ids[ib][j[some]], "d": d[some], "won": np.arange(len(some)) < len(won)})
-        return out[own[ia][i[some]]]
-
-    # small by their bytes, so their number is given
-    parts = max(2 * int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n or 0) // 20_000)
-    found = cut(around.repartition(parts, *keys).groupBy(*keys).applyInPandas(run, "a_id long, b_id long, d double, won boolean"))
-    won, rest = found.where("won").drop("won"), found.where("NOT won").drop("won")
-    if rest.isEmpty():
-        return won
-    for end in ("a_id", "b_id"):
-        rest = rest.join(won.select(end).hint("shuffle_hash"), end, "left_anti")
-    return won.unionByName(greedy(rest.select("a_id", "b_id", "d")))
+        inner = (halo - reach) * (1 - 1e-9)
+
+        def run(p: pd.DataFrame) -> pd.DataFrame:
+            start = p[keys].iloc[0].to_numpy(float) * wide + shift
+            # ends are in the order of ids
+            p = p.sort_values(["side", "id"], kind="stable")
+            at, which = p[list(AXES)].to_numpy(float), p["side"].to_numpy()
+            own = np.full(len(p), True) if whole else (np.floor((at - shift) / wide) * wide + shift == start).all(axis=1)
+            seen = own if whole else ((at >= start - inner) & (at <= start + wide + inner)).all(axis=1) & ~p["several"].to_numpy(bool)
+            ia, ib = (np.flatnonzero(which == k) for k in (0, 1))
+            (ids_a, ends_a), (ids_b, ends_b) = (np.unique(p["id"].to_numpy(np.int64)[k], return_inverse=True) for k in (ia, ib))
+            found = list(met(at[ia], at[ib], reach)) if len(ib) and own.any() else []
+            i, j, d = (np.concatenate([np.zeros(0, t), *c]) for t, c in zip((np.int64, np.int64, float), zip(*found, strict=True) if found else ((), (), ()), strict=True))
+            order = np.lexsort((ends_b[j], ends_a[i], d))
+            i, j, d = i[order], j[order], d[order]
+            u, v = ends_a[i], ends_b[j]
+            sure = [np.ones(len(n), bool) for n in (ids_a, ids_b)]
+            for k, ends, here in ((0, ends_a, ia), (1, ends_b, ib)):
+                sure[k][ends[~seen[here]]] = False
+            won = _walk(u, v, *sure)[0] if len(d) else np.zeros(0, np.int64)
+            taken = [np.zeros(len(n), bool) for n in (ids_a, ids_b)]
+            taken[0][u[won]], taken[1][v[won]] = True, True
+            live = np.flatnonzero(~taken[0][u] & ~taken[1][v])
+            # one end's block may be sure where the other's isn't
+            mine = won[own[ia[i[won]]] | own[ib[j[won]]]]
+            pair, row = [mine], [ia[i[mine]]]
+            for ends, here in ((i, ia), (j, ib)):
+                # the first live pair of each row
+                some, head = np.unique(ends[live], return_index=True)
+                held = own[here[some]]
+                pair.append(live[head[held]])
+                row.append(here[some[held]])
+            pair, kind = np.concatenate(pair), np.repeat([True, False, False], [len(x) for x in pair])
+            out = p[shown].iloc[np.concatenate(row)].reset_index(drop=True)
+            out.insert(0, "won", kind)
+            return out.assign(a_id=ids_a[u[pair]], b_id=ids_b[v[pair]], d=d[pair])
+
+        return run
+
+    picked = []
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        both = F.array(F.struct(F.lit(0).alias("side"), F.col("a_id").alias("id")), F.struct(F.lit(1).alias("side"), F.col("b_id").alias("id")))
+        return pairs.select(F.explode(both).alias("e")).select("e.*").hint("shuffle_hash")
+
+    reach = 0.0
+    while reach < radius:
+        extent = left.groupBy("side").agg(F.count(F.lit(1)), *[f(a) for f in (F.max, F.min) for a in AXES]).collect()
+        if len(extent) < 2:
+            break
+        n, most = sum(r[1] for r in extent), max(r[1] for r in extent)
+        box = float(np.prod([max(1e-9, max(r[2 + k] for r in extent) - min(r[5 + k] for r in extent)) for k in range(3)]))
+        reach = min(radius, max(1.25 * reach, radius / 64, (EACH * box / (4.19 * most)) ** (1 / 3)))
+        live, before, step = left, len(picked), 0
+        while n:
+            wide, whole = side or 16 * reach, side is None and n <= WHOLE
+            # blocks lie otherwise in every round
+            shift = wide * (step % 3) / 3
+            block = lambda c: F.lit(0).cast("long") if whole else F.floor((c - shift) / wide).cast("long")  # noqa: B023, E731
+            around = live
+            for k, a in zip(keys, AXES, strict=True):
+                around = around.withColumn(k, F.explode(F.sequence(block(F.col(a) - 3 * reach), block(F.col(a) + 3 * reach))))
+            # small by their bytes, so their number is given
+            dealt = around.repartition(1 if whole else max(2 * least, n // 20_000), *keys).groupBy(*keys)
+            found = cut(dealt.applyInPandas(stage(reach, wide, shift, whole), schema))
+            heads = found.where("NOT won")
+            first_of = heads.groupBy("side", "id").agg(F.min(F.struct("d", "a_id", "b_id")).alias("m"))
+            agreed = first_of.groupBy("m").count().where("count = 2").select("m.a_id", "m.b_id", "m.d")
+            picked.append(cut(found.where("won").select("a_id", "b_id", "d").distinct().unionByName(agreed)))
+            live = cut(heads.select(*shown).join(ends(picked[-1]), ["side", "id"], "left_anti"))
+            n, step = live.count(), step + 1
+        if reach < radius:
+            left = cut(left.join(ends(reduce(DataFrame.unionByName, picked[before:])), ["side", "id"], "left_anti")) if len(picked) > before else left
+    return reduce(DataFrame.unionByName, picked) if picked else both.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.col("x").alias("d")).limit(0)
 
 
 class _Sparse:
