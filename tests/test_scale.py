@@ -190,3 +190,24 @@ def test_greedy_with_ids_that_repeat(spark, monkeypatch, side):
     df = lambda ids, x: spark.createDataFrame([(int(i), *map(float, p)) for i, p in zip(ids, x, strict=True)], "id long, x double, y double, z double")
     got = [tuple(r) for r in matching.greedy_near(df(ia, a), df(ib, b), 4.0, side).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("side, heavy", [(None, True), (9.0, False)])
+def test_suppression_by_blocks(spark, monkeypatch, side, heavy):
+    """The rows that a walk over all of them keeps, with masses that tie and ids that repeat; no list of pairs is made."""
+    monkeypatch.setattr(matching, "distance_join", None)
+    r = np.random.default_rng(61)
+    x, ids, mass = _cloud(900, 30, 62), np.concatenate([np.arange(800), r.integers(0, 800, 100)]), r.integers(0, 40, 900).astype(float)
+    gap = x[:, None] - x[None]
+    pairs = np.argwhere(np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2) <= 4)
+    near = {int(i): set() for i in ids}
+    for i, j in pairs:
+        if ids[i] != ids[j]:
+            near[int(ids[i])].add(int(ids[j]))
+    kept = []
+    for k in sorted(range(900), key=lambda k: (-mass[k] if heavy else mass[k], ids[k])):
+        if not near[int(ids[k])] & set(kept):
+            kept.append(int(ids[k]))
+    rows = [(int(i), *map(float, p), float(m)) for i, p, m in zip(ids, x, mass, strict=True)] + [(None, 1.0, 1.0, 1.0, 1.0), (2000, None, 1.0, 1.0, 1.0)]
+    got = matching.suppress(spark.createDataFrame(rows, "id long, x double, y double, z double, mass double"), 4.0, heavy, side=side)
+    assert sorted(g.id for g in got.collect() if g.id is not None) == sorted([*kept, 2000])

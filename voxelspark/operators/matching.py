@@ -610,32 +610,112 @@ def model_pivot(scores: DataFrame, rows: str, columns: str, score: str, values:
     return wide.select(rows, *[F.col(f"`{c}`").alias(f"{columns}={c}") for c in wide.columns[1:]])
 
 
-def suppress(points: DataFrame, radius: float, heaviest_first: bool = True, group: str | None = None) -> DataFrame:
+def _standing(at: np.ndarray, ids: np.ndarray, fixed: np.ndarray, seen: np.ndarray, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in the order of a walk: those within the radius of a kept one (gone), and those no earlier one can suppress (free).
+
+    ``fixed`` ones are kept, ``seen`` ones have all that is near here and suppress others if they are free, others are only
+    judged if they are ``own``. Rows of one id don't suppress each other.
+    """
+    cell = np.floor((at - at.min(axis=0)) / (radius * (1 + 1e-9))).astype(np.int64) + 1
+    size = cell.max(axis=0) + 2
+    code = np.ravel_multi_index(tuple(cell.T), tuple(size))
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    lines = np.array([(x * size[1] + y) * size[2] for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    gone, free = np.zeros(len(at), bool), fixed.copy()
+
+    def near(k: int) -> np.ndarray:
+        home = (cell[k, 0] * size[1] + cell[k, 1]) * size[2] + cell[k, 2] + lines
+        begin, end = np.searchsorted(code, home - 1, "left"), np.searchsorted(code, home + 1, "right")
+        some = np.concatenate([order[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
+        gap = at[some] - at[k]
+        some = some[np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2]) <= radius]
+        return some[ids[some] != ids[k]]
+
+    for k in np.flatnonzero(fixed).tolist():
+        some = near(k)
+        gone[some[~fixed[some]]] = True
+    for k in np.flatnonzero((seen | own) & ~fixed).tolist():
+        if gone[k]:
+            continue
+        some = near(k)
+        # what is kept for sure has its neighbours gone already
+        if not (~gone[some] & (some < k)).any():
+            free[k] = True
+            if seen[k]:
+                gone[some[some > k]] = True
+    return gone & ~free, free
+
+
+def suppress(points: DataFrame, radius: float, heaviest_first: bool = True, group: str | None = None, side: float | None = None) -> DataFrame:
     """Greedy suppression: visit by mass, keep a point unless a kept one is within the radius.
 
-    Rounds: a live point that comes before all its live neighbours is kept, its neighbours go. That is the set the
-    sequential walk keeps.
+    No pair is made. Blocks of the volume with what lies two radii round them go to tasks, which walk as far as is sure from
+    what they see; points left unsure go on in other blocks, where those just kept suppress. That is the set the sequential
+    walk keeps. A row whose id has several rows is near to what any of them is near to; it is kept once it is free at each
+    place. Rows without id or without any place stay.
     """
-    key = [group] if group else []
-    rank = F.struct((-F.col("mass") if heaviest_first else F.col("mass")).alias("m"), "id")
-    rows = points.select("id", *key, "x", "y", "z", "mass", rank.alias("rank"))
-    near = distance_join(rows, rows, radius, inclusive=True).where("a_id <> b_id" + (f" AND a_{group} = b_{group}" if group else ""))
-    near = cut(near.select("a_id", "a_rank", "b_id", "b_rank"))
-    kept, live = None, near
-    alone = rows.join(near.select(F.col("a_id").alias("id")), "id", "left_anti").select("id")
-    while not live.isEmpty():
-        first = cut(live.groupBy("a_id").agg(F.min("b_rank").alias("least"), F.first("a_rank").alias("mine")).where("mine < least").select(F.col("a_id").alias("id")))
-        gone = live.join(first, live["a_id"] == first["id"], "left_semi").select(F.col("b_id").alias("id")).distinct()
-        dead = cut(first.unionByName(gone).distinct())
-        kept = first if kept is None else kept.unionByName(first)
-        after = live.join(dead, live["a_id"] == dead["id"], "left_anti")
-        # a point all of whose neighbours are gone stays
-        rest = after.join(dead, after["b_id"] == dead["id"], "left_anti")
-        lonely = after.select("a_id").distinct().join(rest.select("a_id"), "a_id", "left_anti").select(F.col("a_id").alias("id"))
-        kept = cut(kept.unionByName(lonely))
-        live = cut(rest)
-    chosen = alone if kept is None else alone.unionByName(kept)
-    return points.join(chosen, "id", "left_semi")
+    side, halo = side or 8 * radius, 2 * radius
+    key, keys = (["_g"] if group else []), [f"_b{a}" for a in AXES]
+    mass = F.col("mass").cast("double")
+    of = [*([F.col(group).alias("_g")] if group else []), "id"]
+    ranked = points.select(*of, (-mass if heaviest_first else mass).alias("m"), *[F.col(a).cast("double").alias(a) for a in AXES])
+    ranked = cut(ranked.where(F.col("id").isNotNull()))
+    again = ranked.groupBy(*key, "id").count().where("count > 1").select(*key, "id")
+    twice = ranked.join(again.hint("shuffle_hash"), [*key, "id"], "left_semi")
+    # each of their masses at each of their places
+    places = twice.select(*key, "id", *AXES).distinct()
+    spread = twice.select(*key, "id", "m").distinct().hint("shuffle_hash").join(places, [*key, "id"]).withColumn("several", F.lit(True))
+    once = ranked.join(again.hint("shuffle_hash"), [*key, "id"], "left_anti").withColumn("several", F.lit(False))
+    shown = [*key, "id", "m", *AXES, "several"]
+    live = cut(once.select(*shown).unionByName(spread.select(*shown)).dropna(subset=list(AXES)).withColumn("fixed", F.lit(False)))
+    kind = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
+    schema = ", ".join([*[f"{c} {kind.get(c, 'boolean')}" for c in shown], "state int"])
+
+    def rounds(shift: float):
+        def run(p: pd.DataFrame) -> pd.DataFrame:
+            start = p[keys].iloc[0].to_numpy(float) * side + shift
+            p = p.sort_values(["m", "id"], kind="stable")
+            p = p.iloc[np.argsort(~p["fixed"].to_numpy(bool), kind="stable")]
+            at, fixed = p[list(AXES)].to_numpy(float), p["fixed"].to_numpy(bool)
+            own = (np.floor((at - shift) / side) * side + shift == start).all(axis=1)
+            inner = (halo - radius) * (1 - 1e-9)
+            seen = ((at >= start - inner) & (at <= start + side + inner)).all(axis=1) & ~p["several"].to_numpy(bool)
+            gone, free = _standing(at, p["id"].to_numpy(), fixed, seen, own, radius)
+            return p[shown].assign(state=np.where(gone, 0, np.where(free, 1, 2)))[own & ~fixed]
+
+        return run
+
+    kept, n, step, least = None, live.count(), 0, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while n:
+        # blocks lie otherwise in every round
+        shift = side * (step % 3) / 3
+        block = lambda c: F.floor((c - shift) / side).cast("long")  # noqa: B023, E731
+        around = live
+        for k, a in zip(keys, AXES, strict=True):
+            around = around.withColumn(k, F.explode(F.sequence(block(F.col(a) - halo), block(F.col(a) + halo))))
+        # small by their bytes, so their number is given
+        dealt = around.repartition(max(2 * least, n // 20_000), *key, *keys).groupBy(*key, *keys)
+        found = cut(dealt.applyInPandas(rounds(shift), schema))
+        alone, joint = found.where("NOT several"), found.where("several")
+        # gone at one place is gone, free is free at all
+        judged = joint.groupBy(*key, "id", "m").agg(F.min("state").alias("low"), F.max("state").alias("high")).select(*key, "id", "m", F.when(F.col("low") == 0, 0).otherwise(F.col("high")).alias("now"))
+        same = [F.col("j.id") == F.col("w.id"), F.col("j.m").eqNullSafe(F.col("w.m")), *[F.col(f"j.{g}").eqNullSafe(F.col(f"w.{g}")) for g in key]]
+        joint = joint.alias("j").join(judged.alias("w").hint("shuffle_hash"), reduce(lambda p, q: p & q, same)).select(*[f"j.{c}" for c in shown], F.col("w.now").alias("state"))
+        found = cut(alone.unionByName(joint).where("state > 0"))
+        won = found.where("state = 1").select(*key, "id", "m").distinct()
+        kept = won if kept is None else kept.unionByName(won)
+        left = found.where("state = 2").count()
+        live, n, step = found.select(*shown, (F.col("state") == 1).alias("fixed")), found.count() if left else 0, step + 1
+    # rows that take no part stay
+    placed = ranked.dropna(subset=list(AXES)).select(*key, "id").distinct()
+    whole = points.withColumn("_m", -mass if heaviest_first else mass)
+    match = lambda t: [F.col(f"{t}.id") == F.col("p.id"), *[F.col(f"{t}.{g}").eqNullSafe(F.col(f"p.{group}")) for g in key]]
+    no_place = whole.alias("p").join(placed.alias("s").hint("shuffle_hash"), reduce(lambda p, q: p & q, match("s")), "left_anti").drop("_m")
+    if kept is None:
+        return no_place
+    held = whole.alias("p").join(kept.alias("k").hint("shuffle_hash"), reduce(lambda p, q: p & q, [*match("k"), F.col("p._m").cast("double").eqNullSafe(F.col("k.m"))]), "left_semi").drop("_m")
+    return held.unionByName(no_place)
 
 
 #: Hues that neighbours are told apart by.
